@@ -70,10 +70,13 @@ class Tokens:
         return np.array([known.get(w) or number(w) for w in text.split()], np.int64).reshape(-1, 2)
 
 
-def counts_of(text: str, n_words: int) -> list[float]:
+def counts_of(text: str, ids: np.ndarray) -> list[float]:
     lines = text.split("\n")
-    n = len(text) or 1
+    n, n_words = len(text) or 1, len(ids)
+    again = float((ids[1:, 0] == ids[:-1, 0]).mean()) if n_words > 1 else 0.0
     return [
+        again,
+        len(np.unique(ids[:, 0])) / (n_words or 1),
         np.log1p(n_words) / 10,
         len(set(lines)) / len(lines),
         n / (n_words or 1) / 20,
@@ -95,14 +98,14 @@ class Model:
         """The input of the network."""
         ids = tokens.of(text)
         if not len(ids):
-            return np.concatenate([np.zeros(2 * DIM), counts_of(text, 0)])
+            return np.concatenate([np.zeros(2 * DIM), counts_of(text, ids)])
         # One row at a time is summed for very long texts; the means are over all words.
         sums = np.zeros(2 * DIM)
         for at in range(0, len(ids), 1 << 16):
             part = ids[at : at + (1 << 16)]
             sums[:DIM] += self.vectors[part[:, 0]].sum(axis=0, dtype=np.float64)
             sums[DIM:] += self.vectors[part[:, 1]].sum(axis=0, dtype=np.float64)
-        return np.concatenate([sums / len(ids), counts_of(text, len(ids))])
+        return np.concatenate([sums / len(ids), counts_of(text, ids)])
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
@@ -176,7 +179,7 @@ def fitted_temperature(z: np.ndarray, y: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bound: int = TRAIN_ROWS) -> Model:
     """Learn from labelled rows for which keep holds; without any, a model that scores every text 1 (nothing is known against it)."""
     sample = stored(labelled_sample(docs, labels, id_col, text_col, label_col, keep, bound).repartition(24, F.xxhash64("id")), "quality-sample")
-    width = 2 * DIM + 6
+    width = 2 * DIM + 8
     none = (np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 30.0)
     model = Model(np.zeros((BUCKETS, DIM), np.float32), np.zeros(width), np.ones(width), none)
     if sample.isEmpty():

@@ -37,6 +37,8 @@ MAX_FEATURES = 3_000
 MIN_ROWS = 6
 STEMS = range(3, 9)
 LEXICONS, PATTERNS = 5, 5
+#: Log odds of a list's strongest word: above STRONG the list votes 1, below WEAK -1.
+STRONG, WEAK = 3.0, 1.0
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -96,9 +98,10 @@ def votes(own: list[tuple[str, float]], form: list[float]) -> list[int]:
     """One vote a voter: 1, -1 or 0 (abstains)."""
     score = [0.0] * (LEXICONS + PATTERNS)
     for f, odds in own:
-        score[voter_of(f)] += odds
+        k = voter_of(f)
+        score[k] = max(score[k], odds)
     loud = [1 if form[1] > 0.05 and form[0] < 0.2 else 0, -1 if form[2] > 0.03 else 0]
-    return [1 if s > 2 else -1 if s < 0.5 else 0 for s in score] + loud
+    return [1 if s > STRONG else -1 if s < WEAK else 0 for s in score] + loud
 
 
 def label_model(v: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
