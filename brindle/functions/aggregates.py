@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import jsons
 
@@ -16,7 +17,7 @@ def total(x: Column) -> Column:
     return F.coalesce(F.sum(x.cast("double")), F.lit(0.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def exact_sum(x: pd.Series) -> float:
     """A compensated sum of reals: a large term that cancels leaves the small ones."""
     values = [v for v in x if v is not None and v == v]

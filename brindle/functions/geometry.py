@@ -12,6 +12,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 POINTS = "array<array<double>>"
 
@@ -111,17 +112,17 @@ def relation(a: list, b: list) -> int:
     return 1 if 2 in a_in or 2 in b_in else 0
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def contains_point(x: pd.Series, px: pd.Series, py: pd.Series) -> pd.Series:
     return pd.Series([None if s is None else point_in((a, b), _open(json.loads(s))) for s, a, b in zip(x, px, py, strict=True)], dtype="Int32")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def overlap(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else relation(_open(json.loads(a)), _open(json.loads(b))) for a, b in zip(x, y, strict=True)], dtype="Int32")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def within(x: pd.Series, y: pd.Series) -> pd.Series:
     """2 the same, 1 x inside y, else 0."""
     code = {4: 2, 2: 1}

@@ -14,6 +14,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STEP = re.compile(r'\.("(?:[^"\\]|\\.)*"|[^.\[]+)|\[(#?-?\d*|#)\]')
 ABSENT = object()
@@ -124,7 +125,7 @@ def _document(f: Callable[[object], object], text: bool = True) -> Callable[[Col
             return None
         return minified(v) if text else v
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(x: pd.Series) -> pd.Series:
         return x.map(one)
 
@@ -183,7 +184,7 @@ def pretty(x: Column, indent: str = "    ") -> Column:
     return _document(lambda doc: json.dumps(doc, indent=indent, ensure_ascii=False), text=False)(x)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def error_position(x: pd.Series) -> pd.Series:
     """1-based character of the first error, 0 for valid JSON."""
 

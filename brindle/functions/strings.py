@@ -15,6 +15,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -146,7 +147,7 @@ def replace(x: Column, old: Column, new: Column) -> Column:
     return F.when(old == "", x).otherwise(F.replace(x, old, new))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _round(x: pd.Series, n: pd.Series) -> pd.Series:
     def one(v: float, k: int) -> float | None:
         if v is None or v != v:
@@ -204,7 +205,7 @@ def cast_real(x: Column) -> Column:
     return F.when(x.isNull(), F.lit(None)).otherwise(F.coalesce(lead.try_cast("double"), F.lit(0.0)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unistr(x: pd.Series) -> pd.Series:
     r"""``\XXXX``, ``\uXXXX``, ``\+XXXXXX`` and ``\UXXXXXXXX`` escapes; ``\\`` is one backslash."""
     pat = re.compile(r"\\(?:(\\)|\+([0-9A-Fa-f]{6})|U([0-9A-Fa-f]{8})|u?([0-9A-Fa-f]{4}))")

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import tokenize
 
@@ -120,7 +121,7 @@ def rescored(c: Corpus, hits: DataFrame, terms: list[str], k: int, proximity: fl
     found = c.post.filter(F.col("term").isin(sorted(set(terms)))).join(F.broadcast(top), "id")
     grouped = found.groupBy("id", "score", "matched").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def factor(at: pd.Series) -> pd.Series:
         def one(m: object) -> float:
             m = {t: list(ps) for t, ps in dict(m).items()}
@@ -295,7 +296,7 @@ def snippet(x: Column, terms: list[str], before: str, after: str, ellipsis: str,
     """The n tokens with most distinct matches, marked, with an ellipsis where text is left out."""
     wanted = frozenset(t.lower() for t in terms)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         def one(text: str | None) -> str | None:
             if text is None:

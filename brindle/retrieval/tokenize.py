@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words too common to search for.
 STOPWORDS = frozenset(
@@ -152,7 +153,7 @@ def search_tokens(text: str) -> list[str]:
     return [t for t in out if len(t.encode()) <= MAX_BYTES]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def search(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else search_tokens(s))
 
@@ -161,7 +162,7 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def porter(x: pd.Series) -> pd.Series:
     """Unicode words, folded and stemmed."""
     return x.map(lambda s: None if s is None else [stem(w) for w in re.findall(r"[^\W_]+", fold(s))])
