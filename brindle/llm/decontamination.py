@@ -7,8 +7,9 @@ under every mask; document windows that have the same hash under the same mask
 are hits.  A hit names an item and an alignment, and the alignment is verified
 over the whole overlap: the best run of aligned tokens, scored +1 for an equal
 token and -2 for a different one.  The document is contaminated by the item if
-that run has at least MIN_TOKENS equal tokens, or the whole item's, and at
-least MIN_IDENTITY of the run's tokens are equal.
+that run has at least MIN_TOKENS equal tokens (of a shorter item, the share
+MIN_IDENTITY of its tokens) and at least MIN_IDENTITY of the run's tokens are
+equal.
 
 Items shorter than SPAN are compared under a mask of their own length, without
 ignored positions; items below SHORTEST tokens prove nothing and are left out.
@@ -22,6 +23,7 @@ the smallest id.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -115,7 +117,7 @@ class Block:
             end = int(gain.argmax())
             start = int(score[: end + 1].argmin())
             same = int(equal[start:end].sum())
-            enough = same >= min(MIN_TOKENS, len(own)) and same >= MIN_IDENTITY * (end - start)
+            enough = same >= min(MIN_TOKENS, math.ceil(MIN_IDENTITY * len(own))) and same >= MIN_IDENTITY * (end - start)
             if enough and same > best.get(k, (0, 0, 0))[2]:
                 best[k] = lo + shift + start, lo + shift + end, same
         return [(self.items[k][0], *found) for k, found in sorted(best.items())]

@@ -140,7 +140,8 @@ def read_document(spark: SparkSession, path: str, key: object) -> list[list[int]
     blobs, raw, width = open_store(spark, path)
     shared = dictionary(raw)
     dec = zstd.ZstdDecompressor(dict_data=shared) if shared else zstd.ZstdDecompressor()
-    hit = blobs.filter((F.col("first_id") <= F.lit(key)) & (F.col("last_id") >= F.lit(key)))
+    # Null ids stand first, so a blob that begins with one may hold any key up to its last.
+    hit = blobs.filter((F.col("first_id").isNull() | (F.col("first_id") <= F.lit(key))) & (F.col("last_id") >= F.lit(key)))
     at = hit.select("blob", F.explode(F.arrays_zip("ids", "offsets", "lengths")).alias("d")).filter(F.col("d.ids") == F.lit(key))
     frames = at.select(F.expr("substring(blob, cast(d.offsets + 1 as int), cast(d.lengths as int))").alias("frame")).collect()
     return [np.frombuffer(dec.decompress(bytes(r["frame"])), width).tolist() for r in frames]
