@@ -12,7 +12,11 @@ from ..streaming import windows as ST
 from .registry import query
 from .registry import table as t
 
-ORDERS = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+def by_customer():  # noqa: ANN201
+    """Orders of a customer by date (built when asked for: a window needs a session)."""
+    return Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+
+
 OVER = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
 
 
@@ -89,19 +93,19 @@ FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)""")
 def ranking_functions(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderpriority")
     return t(spark, sf, "orders").select(
-        "o_orderkey", F.row_number().over(ORDERS).cast("long").alias("rn"), F.rank().over(w).cast("long").alias("rk"), F.dense_rank().over(w).cast("long").alias("dr"),
-        F.round(F.percent_rank().over(w), 9).alias("pr"), F.round(F.cume_dist().over(w), 9).alias("cd"), F.ntile(3).over(ORDERS).cast("long").alias("nt"),
+        "o_orderkey", F.row_number().over(by_customer()).cast("long").alias("rn"), F.rank().over(w).cast("long").alias("rk"), F.dense_rank().over(w).cast("long").alias("dr"),
+        F.round(F.percent_rank().over(w), 9).alias("pr"), F.round(F.cume_dist().over(w), 9).alias("cd"), F.ntile(3).over(by_customer()).cast("long").alias("nt"),
     )
 
 
 @query(f"SELECT o_orderkey, lag(o_orderkey) {OVER}) AS a, lead(o_orderkey, 2, -1) {OVER}) AS b FROM orders")
 def lag_lead(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "orders").select("o_orderkey", F.lag("o_orderkey").over(ORDERS).alias("a"), F.lead("o_orderkey", 2, -1).over(ORDERS).alias("b"))
+    return t(spark, sf, "orders").select("o_orderkey", F.lag("o_orderkey").over(by_customer()).alias("a"), F.lead("o_orderkey", 2, -1).over(by_customer()).alias("b"))
 
 
 @query(f"SELECT o_orderkey, first_value(o_orderkey) {OVER} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS f, last_value(o_orderkey) {OVER} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS l, nth_value(o_orderkey, 2) {OVER} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS n FROM orders")
 def frame_values(spark: SparkSession, sf: str) -> DataFrame:
-    w = ORDERS.rowsBetween(-2, 1)
+    w = by_customer().rowsBetween(-2, 1)
     k = "o_orderkey"
     return t(spark, sf, "orders").select(k, F.first(k).over(w).alias("f"), F.last(k).over(w).alias("l"), F.nth_value(k, 2).over(w).alias("n"))
 

@@ -191,14 +191,14 @@ def match_expression(spark: SparkSession, sf: str) -> DataFrame:
     return L.match(L.postings(t(spark, sf, "documents"), "doc_id", tokenize.plain(C("text"))), '("of the" OR ers*) NOT and')
 
 
-HITS = f"""l AS (SELECT id, score FROM (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM tf JOIN df USING (term) JOIN len USING (id), c WHERE term IN {IN} GROUP BY id) ORDER BY score DESC, id LIMIT 50),
-v AS (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], {QUERY}) AS score FROM embeddings ORDER BY score DESC, id LIMIT 50)"""
+HITS = f"""l AS (SELECT id, score FROM (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score FROM tf JOIN df USING (term) JOIN len USING (id), c WHERE term IN {IN} GROUP BY id) ORDER BY score DESC, id LIMIT 50),
+v AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], {QUERY}), 9) AS score FROM embeddings ORDER BY score DESC, id LIMIT 50)"""
 
 
 def _branches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The two candidate lists of 50; embeddings stand for documents of the same number."""
-    lexical = L.bm25(_corpus(spark, sf), TERMS).orderBy(F.desc("score"), "id").limit(50)
-    vector = K.exact_search(t(spark, sf, "embeddings"), "vec_id", "embedding", VECTOR, 50).select("id", (1 - C("distance")).alias("score"))
+    lexical = L.bm25(_corpus(spark, sf), TERMS).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "id").limit(50)
+    vector = K.exact_search(t(spark, sf, "embeddings"), "vec_id", "embedding", VECTOR, 50).select("id", F.round(1 - C("distance"), 9).alias("score"))
     return lexical, vector
 
 

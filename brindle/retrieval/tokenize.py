@@ -14,9 +14,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words too common to search for.
+#: The English stop words of a public full-text dictionary.
 STOPWORDS = frozenset(
-    "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
+    """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its
+    itself they them their theirs themselves what which who whom this that these those am is are was were be been being have
+    has had having do does did doing a an the and but if or because as until while of at by for with about against between
+    into through during before after above below to from up down in out on off over under again further then once here there
+    when where why how all any both each few more most other some such no nor not only own same so than too very s t can will
+    just don should now""".split()
 )
 MAX_BYTES = 64
 

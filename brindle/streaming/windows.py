@@ -14,7 +14,12 @@ def read_stream(spark: SparkSession, path: str, schema: object, files_per_trigge
 
 
 def _late(df: DataFrame, ts: str, delay: str) -> DataFrame:
-    return df.withWatermark(ts, delay) if df.isStreaming else df
+    return _timed(df, ts).withWatermark(ts, delay) if df.isStreaming else df
+
+
+def _timed(df: DataFrame, ts: str) -> DataFrame:
+    """Watermarks need instants; a local time is taken in the session's zone."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")) if dict(df.dtypes)[ts] == "timestamp_ntz" else df
 
 
 def tumbling(df: DataFrame, ts: str, size: str, keys: list[str], delay: str = "1 hour", slide: str | None = None, **aggregates: object) -> DataFrame:
@@ -32,7 +37,7 @@ def sessions(df: DataFrame, ts: str, gap: str, keys: list[str], delay: str = "1
 
 def deduplicated(df: DataFrame, keys: list[str], ts: str, delay: str = "1 hour") -> DataFrame:
     """One event for each key, remembered for the delay."""
-    return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
+    return _timed(df, ts).withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
 
 
 def run_to_end(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
