@@ -6,8 +6,8 @@ hits after substitutions at ignored positions.  Benchmark windows are hashed
 under every mask; document windows that have the same hash under the same mask
 are hits.  A hit names an item and an alignment, and the alignment is verified
 over the whole overlap: the best run of aligned tokens, scored +1 for an equal
-token and -2 for a different one.  The document is contaminated by the item if
-that run has at least MIN_TOKENS equal tokens (of a shorter item, the share
+token and less PRICES for a different one.  The document is contaminated by the
+item if a run has at least MIN_TOKENS equal tokens (of a shorter item, the share
 MIN_IDENTITY of its tokens) and at least MIN_IDENTITY of the run's tokens are
 equal.
 
@@ -41,6 +41,8 @@ from .common import id_and_text, with_id
 MASKS = ("1110110111", "1101011011", "1011101101", "1111001111")
 SPAN = len(MASKS[0])
 MIN_TOKENS, MIN_IDENTITY = 13, 0.8
+#: What a different token costs in a run: the lower price bridges substitutions near the ends.
+PRICES = (1, 2)
 SHORTEST = 5
 BLOCK_ITEMS, BLOCK_TOKENS = 20_000, 1_000_000
 TOKEN = re.compile(r"[^\W_]+")
@@ -112,14 +114,15 @@ class Block:
             own = self.items[k][1]
             lo, hi = max(0, -shift), min(len(own), len(ids) - shift)
             equal = own[lo:hi] == ids[lo + shift : hi + shift]
-            score = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
-            gain = score - np.minimum.accumulate(score)
-            end = int(gain.argmax())
-            start = int(score[: end + 1].argmin())
-            same = int(equal[start:end].sum())
-            enough = same >= min(MIN_TOKENS, math.ceil(MIN_IDENTITY * len(own))) and same >= MIN_IDENTITY * (end - start)
-            if enough and same > best.get(k, (0, 0, 0))[2]:
-                best[k] = lo + shift + start, lo + shift + end, same
+            for price in PRICES:
+                score = np.concatenate([[0], np.cumsum(np.where(equal, 1, -price))])
+                gain = score - np.minimum.accumulate(score)
+                end = int(gain.argmax())
+                start = int(score[: end + 1].argmin())
+                same = int(equal[start:end].sum())
+                enough = same >= min(MIN_TOKENS, math.ceil(MIN_IDENTITY * len(own))) and same >= MIN_IDENTITY * (end - start)
+                if enough and same > best.get(k, (0, 0, 0))[2]:
+                    best[k] = lo + shift + start, lo + shift + end, same
         return [(self.items[k][0], *found) for k, found in sorted(best.items())]
 
 
