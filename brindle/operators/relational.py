@@ -65,15 +65,20 @@ def having(df: DataFrame, aggregates: list[Column], condition: Column) -> DataFr
     return df.agg(*aggregates).filter(condition)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the shared folder."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of its own where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="brindle-steps-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

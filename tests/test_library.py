@@ -176,3 +176,51 @@ def test_affinity_and_snapshots(spark):
     c.replace("snap", spark.range(9).toDF("a"))
     c.rollback()
     assert spark.table("snap").count() == 3
+
+
+def test_json_tree_and_archives(spark, tmp_path):
+    import zipfile
+
+    from brindle.operators import tables
+
+    df = spark.createDataFrame([(1, '{"a":[1,{"b":null}],"c d":true}'), (2, "not json"), (3, None)], "id long, doc string")
+    got = [(r["fullkey"], r["type"], r["atom"], r["parent"]) for r in tables.json_tree(df, "doc").orderBy("id", "fullkey").collect()]
+    assert got == [("$", "object", None, None), ('$."c d"', "true", "1", 0), ("$.a", "array", None, 0), ("$.a[0]", "integer", "1", 1), ("$.a[1]", "object", None, 1), ("$.a[1].b", "null", None, 3)]
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        z.writestr("one.txt", "hello")
+        z.writestr("dir/two.txt", "")
+    listed = tables.zip_members(files.read_binary_files(spark, str(tmp_path), "*.zip"))
+    assert sorted((r["name"], r["size"], bytes(r["data"])) for r in listed.collect()) == [("dir/two.txt", 0, b""), ("one.txt", 5, b"hello")]
+
+
+def test_dynamic_values_compare_by_class(spark):
+    from brindle.functions import dynamic
+
+    values = [None, -1, 0, 0.0, 0.5, 2**62, 2**62 + 1, float(2**62), "", "0", "a", b"", b"\x00"]
+    df = dynamic.create(spark, list(enumerate(values)))
+    pairs = df.alias("x").crossJoin(df.alias("y")).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), dynamic.compare(F.col("x.v"), F.col("y.v")).alias("c"))
+    rank = lambda v: 1 if isinstance(v, (int, float)) else 2 if isinstance(v, str) else 3
+
+    def want(a, b):
+        if a is None or b is None:
+            return None
+        if rank(a) != rank(b):
+            return -1 if rank(a) < rank(b) else 1
+        return (a > b) - (a < b)
+
+    for r in pairs.collect():
+        assert r["c"] == want(values[r["a"]], values[r["b"]]), (values[r["a"]], values[r["b"]])
+    assert df.select(dynamic.group_key(F.col("v")).alias("g")).distinct().count() == len(values) - 2
+
+
+def test_series_module_narrows_itself(spark):
+    from brindle.operators import tables
+
+    spark.dataSource.register(tables.Series)
+    before = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    try:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        got = spark.read.format("brindle_series").options(start="0", stop="1000000", step="7", pushdown="true").load().filter("value > 100 AND value <= 140")
+        assert sorted(r["value"] for r in got.collect()) == [105, 112, 119, 126, 133, 140]
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
