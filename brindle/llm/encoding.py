@@ -26,8 +26,8 @@ import sys
 import types
 from array import array
 
-#: Pieces that a worker process remembers, of at most PIECE_CHARS each: about 200 bytes a piece.
-CACHE_PIECES, PIECE_CHARS = 900_000, 64
+#: Pieces that a worker process remembers for a tokenizer, of at most PIECE_CHARS each: about 200 bytes a piece.
+CACHE_PIECES, PIECE_CHARS = {"word_bpe_49k.json": 900_000, "byte_bpe_50k.json": 500_000}, 64
 
 #: White space that is not a single space or line end between other characters (fixed: the white space of Unicode, and Python's).
 IRREGULAR = ("  ", "\n\n", " \n", "\n ", *map(chr, (*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -68,6 +68,7 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
         self.split = {"word_bpe_49k.json": self.by_word, "byte_bpe_50k.json": self.by_space}.get(os.path.basename(path))
+        self.most = CACHE_PIECES.get(os.path.basename(path), 0)
         self.fold = self.split == self.by_word
         self.bytes_as = byte_characters()
         self.space = self.bytes_as[32]
@@ -119,6 +120,6 @@ class Encoder:
             fresh = self.fresh({pieces[i] for i in gaps})
             for i in gaps:
                 got[i] = fresh[pieces[i]]
-            if len(known) < CACHE_PIECES:
+            if len(known) < self.most:
                 known.update((p, b) for p, b in fresh.items() if len(p) <= PIECE_CHARS)
         return b"".join(got)
