@@ -40,6 +40,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Their whole content is no text.
 RAW = frozenset("script style title textarea noscript template svg math iframe object select option head".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that part a page.
+STRUCTURE = frozenset("article main nav aside header footer form section body".split())
 #: A start tag of the key closes an open element of the values.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 
@@ -49,6 +51,7 @@ class Block:
     text: str
     path: tuple[str, ...]  # tags from the root
     names: frozenset[str]  # class, id and role words of all ancestors
+    inner: tuple[str, frozenset[str]]  # the innermost structural or named element: its tag and words
     links: int  # characters inside links
 
 
@@ -63,7 +66,8 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal links
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*(n for _, n in stack)), links))
+            inner = next(((t, n) for t, n in reversed(stack) if t in STRUCTURE or (n and t not in INLINE)), ("none", frozenset()))
+            out.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*(n for _, n in stack)), inner, links))
         parts.clear()
         links = 0
 
@@ -126,7 +130,7 @@ def blocks_of(page: str) -> list[Block]:
 def features(blocks: list[Block]) -> list[list[str]]:
     """The features of each block, from its ancestors and its text."""
     out = []
-    for i, b in enumerate(blocks):
+    for b in blocks:
         n = len(b.text)
         words = b.text.count(" ") + 1
         leaf = next((t for t in reversed(b.path) if t not in INLINE), "none")
@@ -136,12 +140,8 @@ def features(blocks: list[Block]) -> list[list[str]]:
             own.add("sentence")
         if "©" in b.text or "copyright" in b.text.lower():
             own.add("copyright")
-        if not i:
-            own.add("first")
-        if i + 1 == len(blocks):
-            own.add("last")
-        if "article" in b.path or "main" in b.path:
-            own.add("inside")
+        inside = "article" in b.path or "main" in b.path
+        own |= {f"inner:{b.inner[0]}", f"inside:{inside}", f"inner:{b.inner[0]}:{inside}"} | {f"own:{w}" for w in b.inner[1]}
         out.append(sorted(own))
     return out
 
@@ -168,7 +168,7 @@ def words_of(rng: random.Random, n: int) -> str:
     return " ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(n))
 
 
-def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[list[Block], list[int]]]:
+def labelled_pages(n: int = 900, seed: int = 11) -> list[tuple[list[Block], list[int]]]:
     """Blocks of generated pages and their labels (1: content)."""
     return [parsed for k in range(n) if (parsed := labelled(random.Random(seed * 1_000_003 + k)))[0]]
 
@@ -188,51 +188,56 @@ def labelled(rng: random.Random) -> tuple[list[Block], list[int]]:
         return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if rng.random() < 0.6 else " | ".join(items)
 
     def aside(tag: str) -> str:
-        inner = rng.choice([links(2, 8), f"<p>{text(2, 40)}</p>", f"<h3>{text(1, 4)}</h3>{links(2, 6)}", text(1, 30), f"<div>{text(3, 60)}</div>", f"<p>{text(8, 60)}</p><p>{text(8, 50)}</p>"])
+        inner = rng.choice([links(2, 8), f"<p>{text(2, 40)}</p>", f"<h3>{text(1, 4)}</h3>{links(2, 6)}", text(1, 30), f"<div>{text(3, 60)}</div>", f"<p>{text(8, 60)}</p><p>{text(8, 50)}</p>", f"<h2>{text(1, 3)}</h2><p>{text(1, 9)}</p><p>{text(4, 50)}</p>"])
         if tag == "form":
             inner = f"<label>{text(1, 3)}</label><input><button>{text(1, 2)}</button>"
         if tag == "footer":
             inner = rng.choice([f"&copy; {text(2, 9)}", f"<p>© {text(3, 20)}</p>{links(1, 5)}", text(3, 40), f"<p>{text(8, 40)}</p>"])
         if tag in ("div", "ul", "section"):  # only their names tell
-            return f'<{tag} {rng.choice(["class", "id"])}="{rng.choice(ASIDE_NAMES[tag])}">{inner}</{tag}>'
+            kind = rng.choice([*ASIDE_NAMES]) if tag == "div" and rng.random() < 0.5 else tag
+            return f'<{tag} {rng.choice(["class", "id"])}="{rng.choice(ASIDE_NAMES[kind])}">{inner}</{tag}>'
         return named(tag, ASIDE_NAMES[tag], inner)
 
     def piece() -> str:
         kind = rng.random()
-        if kind < 0.68:
+        if kind < 0.62:
             p = text(1, 120, mark)
             p = f"<b>{p}" if rng.random() < 0.1 else p.replace(" ", " <em>x</em> ", 1) if rng.random() < 0.15 else p.replace(" ", ' <a href="/">y</a> ', 1) if rng.random() < 0.15 else p
             return f"<p>{p}" + rng.choice(["</p>", "</p>", "</p>", "<br>", ""])
-        if kind < 0.78:
+        if kind < 0.7:
             return f"<h2>{text(1, 8, mark)}</h2>"
-        if kind < 0.85:
+        if kind < 0.77:
             return "<ul>" + "".join(f"<li>{text(1, 25, mark)}</li>" for _ in range(rng.randint(1, 5))) + "</ul>"
-        if kind < 0.89:
+        if kind < 0.81:
             return f"<blockquote><p>{text(3, 40, mark)}</p></blockquote>"
-        if kind < 0.92:
+        if kind < 0.84:
             return "<table>" + "".join(f"<tr><td>{text(1, 4, mark)}</td><td>{text(1, 4, mark)}</td></tr>" for _ in range(rng.randint(1, 4))) + "</table>"
-        if kind < 0.94:
+        if kind < 0.86:
             return f"<figure><figcaption>{text(2, 15, mark)}</figcaption></figure>"
-        if kind < 0.96:
+        if kind < 0.88:
             return f"<pre><code>{text(2, 30, mark)}</code></pre>"
-        return aside(rng.choice(["div", "aside", "form", "div"]))
+        if kind < 0.9:
+            return f'<p class="{rng.choice(ASIDE_NAMES["div"])}">{text(2, 20)}</p>'
+        return aside(rng.choice(["div", "aside", "form", "section", "footer", "nav"]))
 
-    body = [piece() for _ in range(rng.randint(1, 14))]
-    if rng.random() < 0.8:
+    body = [f"<p>{text(1, 90, mark)}</p>"] if rng.random() < 0.15 else [piece() for _ in range(rng.randint(1, 14))]
+    if rng.random() < 0.7:
         body.insert(0, f"<h1>{text(2, 10, mark)}</h1>")
         if rng.random() < 0.2:
             body[0] = f"<header>{body[0]}</header>"
     inner = "".join(body)
     frame = rng.random()
+    if rng.random() < 0.25 and frame < 0.75:  # a named box inside the article or main part, which may hold others beside it
+        inner = f'<div class="{rng.choice(MAIN_NAMES)}">{inner}</div>' + (aside("div") if rng.random() < 0.6 else "")
     if frame < 0.45:
         inner = named("article", MAIN_NAMES, inner)
     elif frame < 0.6:
         inner = named("main", MAIN_NAMES, inner)
     elif frame < 0.75:
         inner = f"<main>{named('article', MAIN_NAMES, inner)}</main>"
-    elif frame < 0.9:
+    elif frame < 0.87:
         inner = f'<div {rng.choice(["class", "id"])}="{rng.choice(MAIN_NAMES)}">{inner}</div>'
-    else:
+    elif frame < 0.93:
         inner = f'<section class="{rng.choice(MAIN_NAMES)}">{inner}</section>'
     before = [aside(t) for t in rng.sample(["nav", "header", "div", "form", "ul", "nav", "div"], rng.randint(0, 4))]
     after = [aside(t) for t in rng.sample(["aside", "div", "section", "footer", "nav", "form", "section"], rng.randint(0, 4))]
@@ -280,7 +285,7 @@ class Field:
         return y[::-1]
 
 
-def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 250, rate: float = 0.1, decay: float = 3e-4) -> Field:
+def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 220, rate: float = 0.1, decay: float = 1e-4) -> Field:
     """Maximum likelihood by forward-backward over all pages at once, with Adam."""
     own = [features(b) for b, _ in pages]
     seen: dict[str, int] = {}
