@@ -1,7 +1,8 @@
 """Toxicity by weak supervision.
 
-1. Mining: words and word beginnings of a bounded labelled sample are counted
-   by class; those that point to one class make up the lexicons.
+1. Mining: words and word beginnings of a bounded labelled sample, near
+   copies left out, are counted
+   by class; those that point to class 1 make up the lexicons.
 2. Voters: LEXICONS word lists and PATTERNS lists of word beginnings (each a
    share of the mined features by hash) and pattern voters over the text's
    form vote 1, -1 or abstain.
@@ -19,6 +20,7 @@ input row gives one output row.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +36,9 @@ from .common import fold, id_and_text, labelled_sample, stored
 
 TRAIN_ROWS = 12_000
 MAX_FEATURES = 3_000
-MIN_ROWS = 6
+#: A feature needs so many rows, such log odds, and a likelihood ratio beyond what chance gives the best of
+#: all features (2 ln of their number) by MARGIN: chance finds would add up in long texts.
+MIN_ROWS, MIN_ODDS, MARGIN = 6, 2.0, 4.0
 STEMS = range(3, 9)
 LEXICONS, PATTERNS = 5, 5
 #: Log odds of a list's strongest word: above STRONG the list votes 1, below WEAK -1.
@@ -56,7 +60,7 @@ def forms(text: str) -> list[float]:
 
 
 def mined(sample: DataFrame, rows: int) -> list[tuple[str, float]]:
-    """The features that point to class 1 or 0 most, with their smoothed log odds.
+    """The features that point to class 1 most surely, with their smoothed log odds.
 
     Tasks count in bounded tables and emit partial counts; Spark adds them up.
     """
@@ -80,15 +84,33 @@ def mined(sample: DataFrame, rows: int) -> list[tuple[str, float]]:
 
     n1 = sample.filter("y = 1").count()
     n0 = rows - n1
-    counts = sample.mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    odds = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
-    error = F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
-    sure = odds.alias("odds"), (F.abs(odds) - 2 * error).alias("sure")
-    top = counts.filter(F.col("n0") + F.col("n1") >= MIN_ROWS).select("f", *sure).filter("sure > 0.7")
-    best = top.orderBy(F.desc("sure"), "f").limit(MAX_FEATURES).collect()
+    counts = stored(sample.mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxic-counts")
+    a, b = F.col("n1"), F.col("n0")
+    odds = F.log((a + 0.5) / (n1 + 1.0)) - F.log((b + 0.5) / (n0 + 1.0))
+    part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
+    ratio = 2 * (part(a, (a + b) * max(n1, 1) / rows) + part(b, (a + b) * max(n0, 1) / rows))
+    chance = 2 * math.log(max(counts.count(), 2)) + MARGIN
+    top = counts.filter(a + b >= MIN_ROWS).select("f", odds.alias("odds"), ratio.alias("ratio")).filter((F.col("odds") > MIN_ODDS) & (F.col("ratio") > chance))
+    best = top.orderBy(F.desc("ratio"), "f").limit(MAX_FEATURES).collect()
     return [(r["f"], r["odds"]) for r in best]
 
 
+def without_copies(sample: DataFrame) -> DataFrame:
+    """One row of those that share label and least 5-word shingle hash: the rare words of near copies are no evidence."""
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = []
+            for text in b.column(1):
+                w = WORD.findall(text.as_py().lower())
+                keys.append(min((crc32(" ".join(w[i : i + 5]).encode()) for i in range(max(1, len(w) - 4))), default=0))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], names=[*b.schema.names, "least"])
+
+    kinds = dict(sample.dtypes)
+    keyed = sample.mapInArrow(least, f"id {kinds['id']}, text string, y int, least long")
+    return keyed.groupBy("least", "y").agg(F.min_by(F.struct("id", "text"), F.xxhash64("id")).alias("row")).select("row.id", "row.text", "y")
+
+
 def voter_of(feature: str) -> int:
     k = crc32(feature.encode())
     return LEXICONS + k % PATTERNS if feature[0] == "^" else k % LEXICONS
@@ -165,7 +187,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = TRAIN_ROWS) -> Model:
     """Learn from labelled rows for which keep holds; without any, a model that scores 0.5 throughout."""
     chosen = labelled_sample(docs, labels, id_col, text_col, label_col, keep, bound)
-    sample = stored(chosen.repartition(24, F.xxhash64("id")), "toxic-sample")
+    sample = stored(without_copies(chosen.repartition(24, F.xxhash64("id"))).repartition(24, F.xxhash64("id")), "toxic-sample")
     rows = sample.count()
     top = mined(sample, rows) if rows else []
     odds = dict(top)
