@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
-1. Mining: words and word beginnings of a bounded labelled sample, near
-   copies left out, are counted
-   by class; those that point to class 1 make up the lexicons.
+1. Mining: words and word beginnings of a bounded labelled sample, near copies
+   left out, are counted by class; those that point to class 1 make up the
+   lexicons.
 2. Voters: LEXICONS word lists and PATTERNS lists of word beginnings (each a
    share of the mined features by hash) and pattern voters over the text's
    form vote 1, -1 or abstain.
