@@ -1,6 +1,6 @@
 """All registered queries of the engine."""
 
-from . import analytic, more, relational, scalars
+from . import analytic, further, more, relational, scalars
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "analytic", "more", "relational", "scalars"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analytic", "further", "more", "relational", "scalars"]

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.strings import lower
 from . import tokenize
 
 K1, B = 1.2, 0.75
@@ -321,3 +322,49 @@ def snippet(x: Column, terms: list[str], before: str, after: str, ellipsis: str,
 def stemmed(docs: DataFrame, key: str, text: str) -> Corpus:
     """A corpus under the search table's tokenizer."""
     return Corpus.of(docs, key, tokenize.search(F.col(text)))
+
+
+# matchinfo and offsets --------------------------------------------------------
+
+#: The simple tokenizer: ASCII letters and digits and all further code points; only A-Z are folded.
+SIMPLE = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+
+
+def matchinfo(rows: DataFrame, columns: list[str], terms: list[str], name: str = "matchinfo") -> DataFrame:
+    """rows with an array<long> in the default form: terms, columns, then hits here, hits in all rows and rows with hits.
+
+    One triple for each term and column, terms first.  The counts over all rows are one aggregate of fixed width.
+    """
+    tokens = {c: F.regexp_extract_all(lower(F.col(c)), F.lit(f"({SIMPLE})"), 1) for c in columns}
+
+    def hits(column: str, term: str) -> Column:
+        return F.coalesce(F.array_size(F.filter(tokens[column], lambda w: w == term)), F.lit(0)).cast("long")
+
+    here = [hits(c, term) for term in terms for c in columns]
+    counts = rows.agg(*(f for i, h in enumerate(here) for f in (F.coalesce(F.sum(h), F.lit(0)).alias(f"a{i}"), F.count_if(h > 0).alias(f"d{i}")))).first()
+    triples = [x for i, h in enumerate(here) for x in (h, F.lit(counts[f"a{i}"]).cast("long"), F.lit(counts[f"d{i}"]).cast("long"))]
+    return rows.withColumn(name, F.array(F.lit(len(terms)).cast("long"), F.lit(len(columns)).cast("long"), *triples))
+
+
+def offsets(columns: list[Column], terms: list[str]) -> Column:
+    """``column term byte_offset size`` of every hit, by column and place; empty without one."""
+    at = {term: i for i, term in enumerate(terms)}
+    token = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    @F.pandas_udf(T.StringType())
+    def run(*texts: pd.Series) -> pd.Series:
+        def one(*row: str | None) -> str:
+            out: list[str] = []
+            for c, text in enumerate(row):
+                place = seen = 0
+                for m in token.finditer(text or ""):
+                    if (word := m[0].translate(fold)) in at:
+                        place += len(text[seen : m.start()].encode("utf-8", "surrogatepass"))
+                        seen = m.start()
+                        out.append(f"{c} {at[word]} {place} {len(m[0].encode('utf-8', 'surrogatepass'))}")
+            return " ".join(out)
+
+        return pd.Series([one(*row) for row in zip(*texts, strict=True)], dtype=object)
+
+    return run(*columns)

@@ -59,6 +59,14 @@ class Table:
     sql: str = ""
 
 
+def table_names(spark: SparkSession, directory: str) -> list[str]:
+    """The Parquet tables of a directory, by name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [f.getPath().getName() for f in found]
+    return sorted(n.removesuffix(".parquet") for n in names if n.endswith(".parquet"))
+
+
 class Catalog:
     """Names of tables and views, with savepoints."""
 
