@@ -207,3 +207,10 @@ def sql_table_info(spark: SparkSession, sf: str) -> DataFrame:
     engine = Engine(spark)
     engine.catalog.load(sf, "region")
     return engine.sql("PRAGMA table_info(region)").select("cid", "name", "type")
+
+
+@query("SELECT o_orderkey, sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE GROUP)::BIGINT AS s, max(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS 1 PRECEDING) AS hi FROM orders")
+def sql_groups_frames(spark: SparkSession, sf: str) -> DataFrame:
+    engine = Engine(spark)
+    engine.catalog.load(sf, "orders")
+    return engine.sql("SELECT o_orderkey, sum(o_orderkey) OVER (w GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE GROUP) AS s, max(o_orderkey) OVER (w GROUPS 1 PRECEDING) AS hi FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)")
