@@ -5,11 +5,11 @@ Each fixed mask covers SPAN tokens and ignores some of them, so a window still
 hits after substitutions at ignored positions.  Benchmark windows are hashed
 under every mask; document windows that have the same hash under the same mask
 are hits.  A hit names an item and an alignment, and the alignment is verified
-over the whole overlap: the best run of aligned tokens, scored +1 for an equal
-token and less PRICES for a different one.  The document is contaminated by the
-item if a run has at least MIN_TOKENS equal tokens (of a shorter item, the share
-MIN_IDENTITY of its tokens) and at least MIN_IDENTITY of the run's tokens are
-equal.
+over the whole overlap.  The document is contaminated by the item if a run of
+aligned tokens has at least MIN_TOKENS equal tokens (of a shorter item, the
+share MIN_IDENTITY of its tokens) and at least MIN_IDENTITY of the run's tokens
+are equal.  That is decided exactly: with +1 for an equal token and -PRICE for a
+different one, a run has the identity if its sum is not negative.
 
 Items shorter than SPAN are compared under a mask of their own length, without
 ignored positions; items below SHORTEST tokens prove nothing and are left out.
@@ -41,8 +41,8 @@ from .common import id_and_text, with_id
 MASKS = ("1110110111", "1101011011", "1011101101", "1111001111")
 SPAN = len(MASKS[0])
 MIN_TOKENS, MIN_IDENTITY = 13, 0.8
-#: What a different token costs in a run: the lower price bridges substitutions near the ends.
-PRICES = (1, 2)
+#: The equal tokens that make up for a different one at MIN_IDENTITY.
+PRICE = round(MIN_IDENTITY / (1 - MIN_IDENTITY))
 SHORTEST = 5
 BLOCK_ITEMS, BLOCK_TOKENS = 20_000, 1_000_000
 TOKEN = re.compile(r"[^\W_]+")
@@ -77,6 +77,28 @@ def window_hashes(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return at, h
 
 
+def needed(n: int) -> int:
+    """The equal tokens that an item of n tokens asks for."""
+    return min(MIN_TOKENS, math.ceil(MIN_IDENTITY * n))
+
+
+def best_run(equal: np.ndarray) -> tuple[int, int, int]:
+    """(start, end, equal tokens) of the run with most equal tokens among those of MIN_IDENTITY.
+
+    For each start, the last end whose prefix sum is not below that of the start.
+    """
+    score = np.concatenate([[0], np.cumsum(np.where(equal, 1, -PRICE))])
+    same = np.concatenate([[0], np.cumsum(equal)])
+    later = np.maximum.accumulate(score[::-1])[::-1]  # the largest sum from here on: falls, or stays
+    ends = np.searchsorted(-later, -score, "right") - 1
+    start = int((same[ends] - same).argmax())
+    n = int(same[ends[start]] - same[start])
+    if not n:
+        return 0, 0, 0
+    on = np.flatnonzero(equal[start : ends[start]])  # different tokens at the ends do not belong to the run
+    return start + int(on[0]), start + int(on[-1]) + 1, n
+
+
 class Block:
     """The seed index of one block of benchmark items."""
 
@@ -114,15 +136,10 @@ class Block:
             own = self.items[k][1]
             lo, hi = max(0, -shift), min(len(own), len(ids) - shift)
             equal = own[lo:hi] == ids[lo + shift : hi + shift]
-            for price in PRICES:
-                score = np.concatenate([[0], np.cumsum(np.where(equal, 1, -price))])
-                gain = score - np.minimum.accumulate(score)
-                end = int(gain.argmax())
-                start = int(score[: end + 1].argmin())
-                same = int(equal[start:end].sum())
-                enough = same >= min(MIN_TOKENS, math.ceil(MIN_IDENTITY * len(own))) and same >= MIN_IDENTITY * (end - start)
-                if enough and same > best.get(k, (0, 0, 0))[2]:
-                    best[k] = lo + shift + start, lo + shift + end, same
+            start, end, same = best_run(equal)
+            run = lo + shift + start, lo + shift + end, same
+            if same >= needed(len(own)) and (k not in best or (same, -run[0]) > (best[k][2], -best[k][0])):
+                best[k] = run
         return [(self.items[k][0], *found) for k, found in sorted(best.items())]
 
 

@@ -433,6 +433,26 @@ def test_decontamination_awkward(spark, docs):
     assert decontamination.drop_contaminated(docs, b).count() == docs.count() and decontamination.op10_contaminated(empty(spark), b).count() == 0
 
 
+def brute_most_equal(equal):
+    """Most equal tokens of any run of which four fifths are equal."""
+    n = len(equal)
+    return max((e for i in range(n) for j in range(i + 1, n + 1) if 5 * (e := sum(equal[i:j])) >= 4 * (j - i)), default=0)
+
+
+def test_runs_are_decided_exactly():
+    rng = random.Random(8)
+    for _ in range(600):
+        n = rng.choice([5, 9, 13, 15, 16, 40, 59])
+        equal = [True] * n
+        for at in rng.sample(range(n), rng.randint(0, n // 3)):
+            equal[at] = False
+        start, end, same = decontamination.best_run(np.array(equal))
+        assert same == brute_most_equal(equal) == sum(equal[start:end]) and 5 * same >= 4 * (end - start)
+    item = [f"w{k}" for k in range(59)]  # 14 equal tokens at the end, among runs of lower identity
+    text = " ".join(w if k >= 45 or k % 3 else "other" for k, w in enumerate(item))
+    assert [h[0] for h in decontamination.Block([(1, " ".join(item))]).hits(text)] == [1]
+
+
 # All together ----------------------------------------------------------------------
 
 
