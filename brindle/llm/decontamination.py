@@ -1,18 +1,24 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A text is a sequence of tokens: maximal runs of letters and digits, lower-cased.
-Each fixed mask covers SPAN tokens and ignores some of them, so a window still
+Each fixed mask covers a few tokens and may ignore some of them, so a window still
 hits after substitutions at ignored positions.  Benchmark windows are hashed
 under every mask; document windows that have the same hash under the same mask
-are hits.  A hit names an item and an alignment, and the alignment is verified
+are hits.  The masks cover the criterion below: whatever tokens are substituted,
+a run that meets it holds a seed.  A hit names an item and an alignment, and the alignment is verified
 over the whole overlap.  The document is contaminated by the item if a run of
 aligned tokens has at least MIN_TOKENS equal tokens (of a shorter item, the
 share MIN_IDENTITY of its tokens) and at least MIN_IDENTITY of the run's tokens
 are equal.  That is decided exactly: with +1 for an equal token and -PRICE for a
 different one, a run has the identity if its sum is not negative.
 
-Items shorter than SPAN are compared under a mask of their own length, without
-ignored positions; items below SHORTEST tokens prove nothing and are left out.
+A run that meets the criterion holds one of at most LONGEST tokens that does: a
+run of twice MIN_TOKENS equal tokens or more can be cut so that both halves have
+MIN_TOKENS, and one of them has the identity.  Hits with too few equal tokens
+within that reach are dropped before the alignment is verified.
+
+Items below SHORTEST tokens prove nothing and are left out.  Not detected are
+passages with inserted or left out tokens, unless a run between them suffices.
 
 The benchmark is held in blocks of BLOCK_ITEMS items and BLOCK_TOKENS tokens at
 most, each block one scan of the documents, so that what a task holds is
@@ -37,17 +43,20 @@ from pyspark.sql import types as T
 
 from .common import id_and_text, with_id
 
-#: 1: the token counts, 0: it is ignored.
-MASKS = ("1110110111", "1101011011", "1011101101", "1111001111")
-SPAN = len(MASKS[0])
 MIN_TOKENS, MIN_IDENTITY = 13, 0.8
 #: The equal tokens that make up for a different one at MIN_IDENTITY.
 PRICE = round(MIN_IDENTITY / (1 - MIN_IDENTITY))
 SHORTEST = 5
+#: 1: the token counts, 0: it is ignored.  Together they cover every run that meets the criterion: SHORT_MASKS of items of SHORTEST tokens, MASKS of longer ones.
+MASKS, SHORT_MASKS = ("1111", "11011"), ("111", "1101")
+#: Tokens of the longest run that meets the criterion and holds no shorter one that does.
+LONGEST = (2 * MIN_TOKENS - 1) * (PRICE + 1) // PRICE
+#: Hits that are compared at a time.
+HITS = 1 << 14
 BLOCK_ITEMS, BLOCK_TOKENS = 20_000, 1_000_000
 TOKEN = re.compile(r"[^\W_]+")
 #: Odd multipliers of a multiplicative hash, one for each position of a window.
-FACTORS = [(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 for i in range(SPAN)]
+FACTORS = [(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 for i in range(max(map(len, MASKS)))]
 
 
 def tokens(text: str) -> list[str]:
@@ -99,6 +108,11 @@ def best_run(equal: np.ndarray) -> tuple[int, int, int]:
     return start + int(on[0]), start + int(on[-1]) + 1, n
 
 
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks under which an item of n tokens is hashed."""
+    return MASKS if n > SHORTEST else SHORT_MASKS
+
+
 class Block:
     """The seed index of one block of benchmark items."""
 
@@ -109,28 +123,47 @@ class Block:
             words = tokens(text)
             if len(words) >= SHORTEST:
                 self.items.append((key, np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.int64)))
-        self.masks = sorted({m if len(ids) >= SPAN else "1" * len(ids) for _, ids in self.items for m in MASKS})
+        sizes = np.array([len(ids) for _, ids in self.items], np.int64)
+        self.ends = np.cumsum(sizes)
+        self.begins = self.ends - sizes
+        self.flat = np.concatenate([np.empty(0, np.int64), *(ids for _, ids in self.items)])
+        self.needed = np.array([needed(n) for n in sizes.tolist()], np.int64)
         self.seeds: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for mask in self.masks:
-            found = []
-            for k, (_, ids) in enumerate(self.items):
-                if len(ids) >= SPAN if mask in MASKS else len(ids) == len(mask):
-                    at, h = window_hashes(ids, mask)
-                    found += zip(h.tolist(), [k] * len(at), at.tolist(), strict=True)
-            found.sort()
-            h, k, at = zip(*found, strict=True) if found else ((), (), ())
-            self.seeds[mask] = np.array(h, np.uint64), np.array(k, np.int64), np.array(at, np.int64)
+        for mask in MASKS + SHORT_MASKS:
+            own = [k for k, (_, ids) in enumerate(self.items) if mask in masks_of(len(ids))]
+            if own:
+                found = [window_hashes(self.items[k][1], mask) for k in own]
+                h = np.concatenate([h for _, h in found])
+                order = np.argsort(h, kind="stable")
+                k = np.repeat(np.array(own, np.int64), [len(at) for at, _ in found])
+                self.seeds[mask] = h[order], k[order], np.concatenate([at for at, _ in found])[order]
+
+    def near(self, ids: np.ndarray, k: np.ndarray, offset: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, shift) of the hits with enough equal tokens within LONGEST tokens of the seed."""
+        mine = self.begins[k, None] + offset[:, None] + np.arange(1 - LONGEST, LONGEST)
+        theirs = at[:, None] + np.arange(1 - LONGEST, LONGEST)
+        inside = (mine >= self.begins[k, None]) & (mine < self.ends[k, None]) & (theirs >= 0) & (theirs < len(ids))
+        equal = inside & (self.flat.take(mine, mode="clip") == ids.take(theirs, mode="clip"))
+        ok = equal.sum(axis=1) >= self.needed[k]
+        return zip(k[ok].tolist(), (at - offset)[ok].tolist(), strict=True)
 
     def hits(self, text: str) -> list[tuple[object, int, int, int]]:
         """(item, first token, end token, equal tokens) of every item that the text holds, at its best alignment."""
         get = self.vocab.get
         ids = np.array([get(w, 0) for w in tokens(text)], np.int64)
-        places = set()
+        places: set[tuple[int, int]] = set()
         for mask, (hashes, items, offsets) in self.seeds.items():
             at, h = window_hashes(ids, mask)
-            left, right = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            for a, i, j in zip(at[left < right].tolist(), left[left < right].tolist(), right[left < right].tolist(), strict=True):
-                places.update((int(items[x]), a - int(offsets[x])) for x in range(i, j))
+            left = np.searchsorted(hashes, h, "left")
+            n = np.searchsorted(hashes, h, "right") - left
+            at, left, n = at[n > 0], left[n > 0], n[n > 0]
+            before = np.cumsum(n) - n
+            total = int(n.sum())
+            for lo in range(0, total, HITS):
+                hit = np.arange(lo, min(lo + HITS, total))
+                own = np.searchsorted(before, hit, "right") - 1
+                seed = left[own] + hit - before[own]
+                places.update(self.near(ids, items[seed], offsets[seed], at[own]))
         best: dict[int, tuple[int, int, int]] = {}
         for k, shift in places:
             own = self.items[k][1]

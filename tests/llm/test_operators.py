@@ -453,6 +453,46 @@ def test_runs_are_decided_exactly():
     assert [h[0] for h in decontamination.Block([(1, " ".join(item))]).hits(text)] == [1]
 
 
+def qualifying_without_seed(n):
+    """A run of an item of n tokens that meets the criterion and holds no seed; every such run is tried, by equal and different tokens so far and the last ones."""
+    masks, need = decontamination.masks_of(n), min(13, -(-4 * n // 5))
+    width = max(map(len, masks))
+    runs = {("", 0, 0)}
+    for _ in range(min(n, decontamination.LONGEST)):
+        longer = {((last + b)[-width:], e + (b == "1"), d + (b == "0")) for last, e, d in runs for b in "01"}
+        runs = {(last, e, d) for last, e, d in longer if not any(len(last) >= len(m) and all(x <= y for x, y in zip(m, last[-len(m) :], strict=True)) for m in masks)}
+        if found := [r for r in runs if r[1] >= need and r[1] >= 4 * r[2]]:
+            return found[0]
+    return None
+
+
+def test_seeds_cover_the_criterion():
+    assert decontamination.LONGEST == 31
+    assert [n for n in range(decontamination.SHORTEST, 80) if qualifying_without_seed(n)] == []
+
+
+def test_substitutions_anywhere_are_found():
+    rng = random.Random(9)
+    for n in range(5, 60):
+        item = [f"w{k}" for k in range(n)]
+        block, need = decontamination.Block([(0, "w1 w2 w3 unlike that"), (1, " ".join(item))]), min(13, -(-4 * n // 5))
+        for _ in range(25):
+            other = set(rng.sample(range(n), rng.randint(0, n // 4 + 1)))
+            run = [k not in other for k in range(n)]
+            text = " ".join(["so", "it", *(w if same else "other" for w, same in zip(item, run, strict=True)), "is"])
+            got = [h[3] for h in block.hits(text) if h[0] == 1]
+            most = brute_most_equal(run)
+            assert got == ([most] if most >= need else []), (n, other)
+
+
+def test_many_hits_are_compared_in_parts(monkeypatch):
+    block = decontamination.Block([(k, f"of the same words {k} a b c d e f g h i j k") for k in range(40)])
+    text = "and of the same words 7 a b c d e f g h i j k of the same words of the same words"
+    whole = block.hits(text)
+    monkeypatch.setattr(decontamination, "HITS", 3)
+    assert block.hits(text) == whole and len(whole) == 40
+
+
 # All together ----------------------------------------------------------------------
 
 
