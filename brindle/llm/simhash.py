@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -241,9 +241,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose id is not the one that stands for its component."""
-    out = near_duplicates(docs, id_col, text_col).filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id")).distinct()
-    return docs.join(out, docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
+    """One row of docs for each component: that of the smallest id (null last), then of the smallest digest of the text.
+
+    Ids may be null or repeated, so id and digest together name a row; of rows that agree in both one stays.
+    """
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    row = F.struct(docs[id_col].isNull().alias("last"), docs[id_col].alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    named = docs.withColumn("__row", row)
+    out = near_duplicates(named, "__row", text_col).filter("id <> component_id").select(F.col("id").alias("__row")).distinct()
+    # The window needs no further shuffle or sort where the join has dealt the rows.
+    first = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
+    return named.join(out, "__row", "left_anti").withColumn("__nth", first).filter("__nth = 1").select(*docs.columns)
 
 
 def op8_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -368,6 +368,22 @@ def test_bit_sliced_distances():
         assert got.tolist() == want
 
 
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(4)
+    base = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(400)) for _ in range(6)]
+    near = [t.upper() for t in base]  # the same fingerprint, another text
+    rows = [
+        (1, base[0]), (None, near[0]),  # a null id linked to an id
+        (None, base[1]), (None, base[2]), (None, near[2]),  # null ids: one alone, two linked
+        (2, near[3]), (5, base[3]), (5, base[4]),  # a repeated id, one of its texts a near copy
+        (7, base[5]), (7, base[5]), (7, near[5]),  # the same row twice, and linked rows under one id
+    ]
+    got = [(r["doc_id"], r["text"]) for r in simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    least = lambda *texts: min(texts, key=lambda t: hashlib.sha256(t.encode()).digest())
+    want = [(1, base[0]), (None, base[1]), (None, least(base[2], near[2])), (2, near[3]), (5, base[4]), (7, least(base[5], near[5]))]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 # op9 -------------------------------------------------------------------------------
 
 
