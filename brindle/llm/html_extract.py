@@ -39,7 +39,12 @@ WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their whole content is no text.
 RAW = frozenset("script style title textarea noscript template svg math iframe object select option head".split())
+#: Of these a start tag that ends with a slash has no content, unless the slash ends a value without quotes.
+FOREIGN = frozenset("svg math path".split())
+BARE_VALUE = re.compile(r"""=\s*[^\s"']+\Z""")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: An option outside a select may lack its end tag: it ends at any tag, such as the next option's, that is not inline.
+OPTION_END = re.compile(rf"</?(?!(?:{'|'.join(sorted(INLINE))})(?![^\s/>]))[a-z]", re.IGNORECASE)
 #: Elements that part a page.
 STRUCTURE = frozenset("article main nav aside header footer form section body".split())
 #: A start tag of the key closes an open element of the values.
@@ -116,11 +121,13 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID:
             continue
         attrs = m[3] if m[2] else m[5]
+        if tag in FOREIGN and attrs.endswith("/") and not BARE_VALUE.search(attrs):
+            continue
         if tag in RAW and tag != "head":
-            close = re.compile(f"</{tag}", re.IGNORECASE).search(page, pos)
+            close = (OPTION_END if tag == "option" else re.compile(f"</{tag}", re.IGNORECASE)).search(page, pos)
             pos = close.start() if close else end
-        if attrs.rstrip().endswith("/") and tag in ("svg", "path"):
-            continue
+            if tag == "option":
+                continue
         names = frozenset(w.lower() for v in NAMES.findall(attrs) for w in WORDS.findall("".join(v)))
         stack.append((tag, names))
     flush()

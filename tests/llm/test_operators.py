@@ -136,6 +136,19 @@ def test_pages_awkward(spark, field):
     assert len(got) == 6 and {(r["text"], r["n_chars"]) for r in got if r["page_id"] in (1, 2)} == {("", 0)}
 
 
+@pytest.mark.parametrize(
+    "icon",
+    ['<svg class="i"/>', "<svg/>", "<svg class=i />", "<SVG viewBox='0 0 1 1' hidden/>", "<math/>", '<svg><title>no</title></svg>', '<svg class=i/>no</svg>',
+     "<datalist id=d><option value=a><option>no <b>not</b><option>no</datalist>", "<datalist><option>no</option></datalist>", "<option>no", "<select><option>no<option>no</select>"],
+)
+def test_icons_and_options_take_no_text_with_them(spark, field, icon):
+    parts = ["The first paragraph of the article is this one.", "The second paragraph of the article is this one.", "The third paragraph is the last that it has."]
+    page = f"<html><body><main><article><p>{parts[0]}</p>{icon}<p>{parts[1]}</p><svg></svg><p>{parts[2]}</p></article></main></body></html>"
+    assert [b.text for b in html_extract.blocks_of(page)] == parts
+    got = html_extract.op2_main_text(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first() if icon == '<svg class="i"/>' else None
+    assert html_extract.main_text(page, field) == " ".join(parts) and (got is None or got["text"] == " ".join(parts))
+
+
 # op3 -------------------------------------------------------------------------------
 
 
