@@ -72,6 +72,40 @@ class InvertedFile:
         return exact_search(self.assigned, "id", "v", query, k, where=F.col("list").isin(nearest))
 
 
+    def batch_search(self, queries: DataFrame, k: int, probes: int = 1, block: int = 256) -> DataFrame:
+        """(query_id, id, similarity, rank) of the k nearest rows by cosine in the nearest lists of each query (query_id, query)."""
+        got = queries.select("query_id", "query").orderBy("query_id").collect()
+        out = None
+        for at in range(0, len(got), block):
+            part = got[at : at + block]
+            ids = np.array([r["query_id"] for r in part])
+            q = np.array([list(r["query"]) for r in part], np.float64)
+            q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+            apart = np.stack([((self.centers - x) ** 2).sum(axis=1) for x in q])
+            probed = np.zeros(apart.shape, bool)
+            np.put_along_axis(probed, np.argsort(apart, axis=1)[:, :probes], True, axis=1)
+
+            def near(batches, ids=ids, q=q, probed=probed):  # noqa: ANN001, ANN202
+                import pandas as pd
+
+                for pdf in batches:
+                    if not len(pdf):
+                        continue
+                    sims = np.stack(pdf["v"].to_numpy()).astype(np.float64) @ q.T
+                    keys, lists = pdf["id"].to_numpy(), pdf["list"].to_numpy()
+                    for j, query_id in enumerate(ids):
+                        own = np.flatnonzero(probed[j, lists])
+                        best = own[np.lexsort((keys[own], -sims[own, j]))[:k]]
+                        yield pd.DataFrame({"query_id": query_id, "id": keys[best], "similarity": sims[best, j]})
+
+            found = self.assigned.mapInPandas(near, "query_id long, id long, similarity double")
+            out = found if out is None else out.unionByName(found)
+        if out is None:
+            return self.assigned.sparkSession.createDataFrame([], "query_id long, id long, similarity double, rank int")
+        w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+        return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def rescored_search(rows: DataFrame, key: str, vector: str, query: list[float], k: int, oversample: int = 3) -> DataFrame:
     """int8 components find 3 k candidates; full precision ranks them."""
     top = max(abs(x) for x in query) or 1.0
