@@ -19,3 +19,19 @@ def test_inverted_file_recall_at_the_registered_setting(spark, sf):
     want = pairs(K.batch_search(e, "vec_id", "embedding", queries, 10))
     got = pairs(QUERIES["inverted_file_batch_search"](spark, path))
     assert len(want) == 10 * queries.count() and len(got & want) / len(want) >= 0.9
+
+
+def test_highlight_marks_whole_texts_of_every_document(spark):
+    path = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in table(spark, path, "documents").collect()}
+
+    def marked(text):
+        out, at = [], 0
+        for m in re.finditer("[a-zA-Z0-9]+", text):
+            out += [text[at : m.start()], f"[{m[0]}]" if m[0].lower() in ("the", "und") else m[0]]
+            at = m.end()
+        return "".join(out) + text[at:]
+
+    got = {r["doc_id"]: r["h"] for r in QUERIES["highlight_whole"](spark, path).collect()}
+    assert got == {k: x if x is None else marked(x) for k, x in texts.items()}
+    assert any(x and marked(x)[:400] == x[:400] and marked(x) != x for x in texts.values())  # marks after the first 400 characters
