@@ -128,6 +128,13 @@ def user_scalar(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "part").select("p_partkey", f.call("twice", C("p_size")).alias("y"))
 
 
+@query("SELECT event_id, sum(value) FILTER (WHERE event_type = 'click') OVER (PARTITION BY user_id ORDER BY event_id ROWS 3 PRECEDING) AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events")
+def sql_window_filter_whole(spark: SparkSession, sf: str) -> DataFrame:
+    text = "SELECT event_id, sum(value) FILTER (WHERE event_type = 'click') OVER (w ROWS 3 PRECEDING) AS s, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"
+    out = _sql(spark, sf, text, "events")
+    return out.withColumn("n", C("n").cast("long"))
+
+
 @query("SELECT p_brand, CAST(max(p_size) - min(p_size) AS DOUBLE) AS spread FROM part GROUP BY 1")
 def user_aggregate(spark: SparkSession, sf: str) -> DataFrame:
     f = tables.Functions(spark)
@@ -153,6 +160,11 @@ def lateral_json_tree(spark: SparkSession, sf: str) -> DataFrame:
     return tables.json_tree(t(spark, sf, "events").filter("event_id < 300").select("event_id", "props"), "props").select("event_id", "fullkey", "atom")
 
 
+@query("SELECT event_id, j.fullkey AS fullkey, CAST(j.atom AS VARCHAR) AS atom FROM events, json_tree(events.props) j")
+def lateral_json_tree_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.json_tree(t(spark, sf, "events").select("event_id", "props"), "props").select("event_id", "fullkey", "atom")
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_totalprice >= 100000 AND o_totalprice <= 150000 AND o_custkey <= 500")
 def rtree_range(spark: SparkSession, sf: str) -> DataFrame:
     return tables.rtree_query(t(spark, sf, "orders"), {"o_totalprice": (100000, 150000), "o_custkey": (None, 500)}).select("o_orderkey")

@@ -104,6 +104,17 @@ def bit_operations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("""SELECT o_orderkey, o_custkey & 255 AS a, o_custkey | 7 AS o, ~o_custkey AS n,
+CAST(CASE WHEN l >= 9223372036854775808 THEN l - 18446744073709551616 ELSE l END AS BIGINT) AS l, o_custkey >> (o_orderkey % 10) AS r
+FROM (SELECT *, CASE WHEN o_orderkey % 70 >= 64 THEN CAST(0 AS HUGEINT) ELSE CAST(o_custkey AS HUGEINT) * CAST(power(2, o_orderkey % 70) AS HUGEINT) % 18446744073709551616 END AS l FROM orders)""")
+def bit_operations_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All orders, shifts by 0 to 69 bits; SQL multiplies, modulo 2^64."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return t(spark, sf, "orders").select(
+        "o_orderkey", c.bitwiseAND(255).alias("a"), c.bitwiseOR(7).alias("o"), F.bitwise_not(c).alias("n"), S.shift_left(c, k % 70).alias("l"), S.shift_right(c, k % 10).alias("r")
+    )
+
+
 @query("""SELECT event_id, (CAST(value AS VARCHAR) IS NOT DISTINCT FROM NULL) AS is_null, value > 50 AND NOT (user_id < 10) AS both_true, value > 90 OR user_id IS NULL AS either FROM events""")
 def three_valued_logic(spark: SparkSession, sf: str) -> DataFrame:
     v, u = F.col("value"), F.col("user_id")
@@ -226,6 +237,11 @@ def lateral_json_each(spark: SparkSession, sf: str) -> DataFrame:
     return R.json_each(t(spark, sf, "events").filter("event_id < 500").select("event_id", "props"), "props").select("event_id", "key", "value")
 
 
+@query("SELECT event_id, j.key AS key, CAST(j.value AS VARCHAR) AS value FROM events, json_each(events.props) j")
+def lateral_json_each_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return R.json_each(t(spark, sf, "events").select("event_id", "props"), "props").select("event_id", "key", "value")
+
+
 # Subqueries, CTEs -----------------------------------------------------------------
 
 
@@ -278,6 +294,12 @@ def recursive_union(spark: SparkSession, sf: str) -> DataFrame:
     return R.recursive(spark.sql("SELECT 1L AS x"), lambda d: d.join(edges, F.col("a") == F.col("x")).select(F.col("b").alias("x")))
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem), r(x) AS (SELECT 1 UNION SELECT b FROM r JOIN e ON a = x) SELECT CAST(x AS BIGINT) AS x FROM r""")
+def recursive_union_whole(spark: SparkSession, sf: str) -> DataFrame:
+    edges = t(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
+    return R.recursive(spark.sql("SELECT 1L AS x"), lambda d: d.join(edges, F.col("a") == F.col("x")).select(F.col("b").cast("long").alias("x")))
+
+
 # Sorting, limits, sets --------------------------------------------------------------
 
 
