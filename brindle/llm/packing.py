@@ -16,6 +16,7 @@ packed each; an empty table gives no piece.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -34,7 +35,6 @@ BYTE_TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 1024
 #: Pieces packed by one task; sizes only, about 100 bytes each.
 PARTITION_PIECES = 65_536
-ROUNDS = 4
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep_ids: bool = False) -> DataFrame:
@@ -123,7 +123,7 @@ def pack_round(pieces: DataFrame, n: int, capacity: int, round_no: int) -> DataF
         bins, offsets, fill = best_fit(lengths, capacity)
         gap = len(fill) > lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
         roomy = np.array(fill) < capacity
-        first = (round_no << 56) + (TaskContext.get().partitionId() << 32)
+        first = (round_no << 48) + (TaskContext.get().partitionId() << 24)
         t = t.append_column("sequence_id", pa.array(first + bins)).append_column("offset", pa.array(offsets)).append_column("released", pa.array(roomy[bins] & gap))
         yield from t.combine_chunks().to_batches(max_chunksize=65_536)
 
@@ -132,15 +132,18 @@ def pack_round(pieces: DataFrame, n: int, capacity: int, round_no: int) -> DataF
     return stored(dealt.mapInArrow(pack, schema), "packed")
 
 
-def place(pieces: DataFrame, capacity: int, rounds: int = ROUNDS) -> DataFrame:
-    """(id, piece, length, sequence_id, offset) of pieces (id, piece, length), none longer than capacity."""
+def place(pieces: DataFrame, capacity: int, rounds: int | None = None) -> DataFrame:
+    """(id, piece, length, sequence_id, offset) of pieces (id, piece, length), none longer than capacity.
+
+    Without ``rounds`` until a repacking saves nothing: each that is kept has fewer sequences than it was given.
+    """
     count = lambda df: df.agg(F.count(F.lit(1)), F.count_distinct("sequence_id")).first()
     packed = pack_round(pieces, pieces.count(), capacity, 1)
     done: list[DataFrame] = []
-    for r in range(2, rounds + 2):
+    for r in itertools.count(2):
         loose = packed.filter("released")
         n, before = count(loose)
-        if r > rounds or n == 0 or before < 2:
+        if (rounds is not None and r > rounds) or n == 0 or before < 2:
             break
         again = pack_round(loose.drop("sequence_id", "offset", "released"), n, capacity, r)
         if count(again)[1] >= before:

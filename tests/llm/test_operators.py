@@ -302,6 +302,20 @@ def test_bounds_hold_and_exchange_saves(spark, monkeypatch):
     assert exchanged.count() == 2000 and told["bound"] <= told["sequences"] < alone
 
 
+def test_exchange_goes_on_while_it_saves(spark, monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(packing, "PARTITION_PIECES", 20)
+    pieces = spark.createDataFrame([(i, 0, rng.randint(250, 519)) for i in range(4000)], "id long, piece int, length long")
+    n = lambda df: df.select("sequence_id").distinct().count()
+    rounds = []
+    plain = packing.pack_round
+    monkeypatch.setattr(packing, "pack_round", lambda *args: rounds.append(args[3]) or plain(*args))
+    placed = packing.place(pieces, 1024)
+    last = len(rounds)
+    assert last > 4 and n(placed) < n(packing.place(pieces, 1024, rounds=4))
+    assert placed.count() == 4000 and placed.groupBy("sequence_id").sum("length").filter("`sum(length)` > 1024").count() == 0
+
+
 def test_packing_keeps_ids(spark, docs):
     got = packing.pack_documents(docs.limit(5), keep_ids=True).collect()
     assert all(zlib.crc32(np.array(r["token_ids"], "<u4").tobytes()) == r["ids_crc32"] for r in got)
