@@ -1,47 +1,55 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A text is a sequence of tokens: maximal runs of letters and digits, lower-cased.
-Each fixed mask covers a few tokens and may ignore some of them, so a window still
-hits after substitutions at ignored positions.  Benchmark windows are hashed
-under every mask; document windows that have the same hash under the same mask
-are hits.  The masks cover the criterion below: whatever tokens are substituted,
-a run that meets it holds a seed.  A hit names an item and an alignment, and the alignment is verified
-over the whole overlap.  The document is contaminated by the item if a run of
-aligned tokens has at least MIN_TOKENS equal tokens (of a shorter item, the
-share MIN_IDENTITY of its tokens) and at least MIN_IDENTITY of the run's tokens
-are equal.  That is decided exactly: with +1 for an equal token and -PRICE for a
-different one, a run has the identity if its sum is not negative.
-
-A run that meets the criterion holds one of at most LONGEST tokens that does: a
-run of twice MIN_TOKENS equal tokens or more can be cut so that both halves have
-MIN_TOKENS, and one of them has the identity.  Hits with too few equal tokens
-within that reach are dropped before the alignment is verified.
-
-Items below SHORTEST tokens prove nothing and are left out.  Not detected are
-passages with inserted or left out tokens, unless a run between them suffices.
-
-The benchmark is held in blocks of BLOCK_ITEMS items and BLOCK_TOKENS tokens at
-most, each block one scan of the documents, so that what a task holds is
-bounded at any benchmark size.  Null and empty texts are clean.  Repeated rows
-are judged each; benchmark rows with the same text count as one item, that of
-the smallest id.
+A text is a sequence of tokens: maximal runs of letters and digits, lower-cased;
+a character of a script that is written without spaces is a token of its own.
+Each fixed mask covers a few tokens and may ignore some of them, so a window
+still hits after substitutions at ignored positions.  An item contaminates a
+document if at one alignment a run of tokens has at least MIN_TOKENS equal
+tokens (of a shorter item, the share MIN_IDENTITY of its tokens) and at least
+MIN_IDENTITY of the run's tokens are equal.
+
+1. Benchmark items become a table of seeds: (hash of a window under a mask,
+   item, offset).  The hashes also set bits of a bitmap, of which the size is
+   bounded by MAX_BITS whatever the benchmark's size.
+2. One scan of the documents hashes every window under every mask.  Windows in
+   the bitmap that lie close together make up a passage: its token hashes and
+   hits.  A run that meets the criterion holds one of at most LONGEST tokens
+   that does, and that one holds ``least_hits`` seeds whatever is substituted,
+   so passages with fewer hits in reach of each other are no loss.
+3. The hits are joined with the seeds on the hash, counted for each alignment,
+   and alignments with fewer than ``least_hits`` are dropped.
+4. What is left is verified: the run is found exactly.  With +1 for an equal
+   token and -PRICE for a different one, a run has the identity if its sum is
+   not negative.
+
+Only passages are shuffled, not texts; no step holds the benchmark, except that
+tables of a checked size are broadcast.  Items below SHORTEST tokens prove
+nothing and are left out.  Not detected are passages with inserted or left out
+tokens, unless a run between them suffices.
+
+Null and empty texts are clean.  Every row is judged alone, so repeated rows
+and repeated or null ids make no difference; benchmark rows with the same text
+count as one item, that of the smallest id (null last).  Further columns of
+either table play no part, whatever their names.  Very long texts are scanned
+CHUNK tokens at a time.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, with_id
+from .common import id_and_text, stored, unused, with_id, without_rows
 
 MIN_TOKENS, MIN_IDENTITY = 13, 0.8
 #: The equal tokens that make up for a different one at MIN_IDENTITY.
@@ -49,41 +57,50 @@ PRICE = round(MIN_IDENTITY / (1 - MIN_IDENTITY))
 SHORTEST = 5
 #: 1: the token counts, 0: it is ignored.  Together they cover every run that meets the criterion: SHORT_MASKS of items of SHORTEST tokens, MASKS of longer ones.
 MASKS, SHORT_MASKS = ("1111", "11011"), ("111", "1101")
-#: Tokens of the longest run that meets the criterion and holds no shorter one that does.
+#: Tokens of the longest run that meets the criterion and holds no shorter one that does: a run of twice
+#: MIN_TOKENS equal tokens or more can be cut so that both halves have MIN_TOKENS, and one has the identity.
 LONGEST = (2 * MIN_TOKENS - 1) * (PRICE + 1) // PRICE
-#: Hits that are compared at a time.
-HITS = 1 << 14
-BLOCK_ITEMS, BLOCK_TOKENS = 20_000, 1_000_000
+#: The bitmap has BITS_A_SEED bits for each seed, MAX_BITS (as a power of two) at most: 32 MB.
+BITS_A_SEED, MAX_BITS = 256, 28
+#: Tokens that are hashed at a time, and words whose hash a task remembers.
+CHUNK, MEMORY = 1 << 18, 200_000
+#: Seeds, or tokens of items, that may be broadcast: at most about 20 MB.
+BROADCAST_SEEDS, BROADCAST_TOKENS = 200_000, 1_000_000
+
 TOKEN = re.compile(r"[^\W_]+")
-#: Odd multipliers of a multiplicative hash, one for each position of a window.
-FACTORS = [(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 for i in range(max(map(len, MASKS)))]
+#: Scripts that are written without spaces: kana, ideographs, Thai, Lao, Burmese, Khmer.
+WIDE = "぀-ヿ㐀-䶿一-鿿豈-﫿฀-໿က-႟ក-៿\U00020000-\U0003ffff"
+ANY_WIDE, MIXED_TOKEN = re.compile(f"[{WIDE}]"), re.compile(rf"(?=[^\W_])[{WIDE}]|[^\W_{WIDE}]+")
+#: Odd multipliers of a multiplicative hash, two for each position of a window.
+FACTORS = [(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 for i in range(2 * max(map(len, MASKS)))]
 
 
 def tokens(text: str) -> list[str]:
-    return TOKEN.findall(text.lower())
+    low = text.lower()
+    return (TOKEN if low.isascii() or not ANY_WIDE.search(low) else MIXED_TOKEN).findall(low)
 
 
-def mixed(ids: np.ndarray) -> np.ndarray:
-    """Each token number spread over 64 bits."""
-    x = ids.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(29)
-    return x * np.uint64(0x94D049BB133111EB)
+def numbers(words: list[str], known: dict[str, bytes]) -> bytes:
+    """The 64-bit hash of each word, joined; ``known`` remembers MEMORY of them."""
+    got = list(map(known.get, words))
+    if None in got:
+        for i, b in enumerate(got):
+            if b is None:
+                got[i] = xxhash.xxh3_64_digest(words[i].encode("utf-8", "surrogatepass"))
+                if len(known) < MEMORY and len(words[i]) <= 40:
+                    known[words[i]] = got[i]
+    return b"".join(got)
 
 
-def window_hashes(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows whose counted tokens are all known (id above 0)."""
-    n = len(ids) - len(mask) + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    on = [i for i, c in enumerate(mask) if c == "1"]
-    ok = np.ones(n, bool)
-    for i in on:
-        ok &= ids[i : i + n] > 0
-    at = np.flatnonzero(ok)
-    h = np.zeros(len(at), np.uint64)
-    for i in on:
-        h += (mixed(ids[at + i]) ^ np.uint64(FACTORS[i])) * np.uint64(FACTORS[-1 - i])
-    return at, h
+def windows(x: np.ndarray, mask: str) -> np.ndarray:
+    """The hash of the window under the mask that begins at each token, as far as windows are whole."""
+    n = max(0, len(x) - len(mask) + 1)
+    h = np.full(n, FACTORS[-1 - len(mask)] ^ int(mask, 2), np.uint64)
+    for i, c in enumerate(mask):
+        if c == "1":
+            h += (x[i : i + n] ^ np.uint64(FACTORS[i])) * np.uint64(FACTORS[len(FACTORS) // 2 + i])
+    h ^= h >> np.uint64(31)
+    return h * np.uint64(0x94D049BB133111EB)
 
 
 def needed(n: int) -> int:
@@ -91,6 +108,32 @@ def needed(n: int) -> int:
     return min(MIN_TOKENS, math.ceil(MIN_IDENTITY * n))
 
 
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks under which an item of n tokens is hashed."""
+    return MASKS if n > SHORTEST else SHORT_MASKS
+
+
+@lru_cache(maxsize=None)
+def least_hits(n: int) -> int:
+    """The fewest seeds in a run of at most LONGEST tokens that meets the criterion for an item of n tokens, over all such runs."""
+    if n > LONGEST:
+        return least_hits(LONGEST)
+    masks, need = masks_of(n), needed(n)
+    width = max(map(len, masks))
+    fewest, best = {("", 0, 0): 0}, n * len(masks)  # by the last tokens (1: equal) and how many are equal and different so far
+    for _ in range(n):
+        longer: dict[tuple[str, int, int], int] = {}
+        for (last, e, d), h in fewest.items():
+            for b in "01":
+                own = last + b
+                hits = h + sum(len(own) >= len(m) and all(x <= y for x, y in zip(m, own[-len(m) :], strict=True)) for m in masks)
+                key = own[1 - width :], e + (b == "1"), d + (b == "0")
+                longer[key] = min(hits, longer.get(key, hits))
+        fewest = longer
+        best = min([best, *(h for (_, e, d), h in fewest.items() if e >= need and e >= PRICE * d)])
+    return best
+
+
 def best_run(equal: np.ndarray) -> tuple[int, int, int]:
     """(start, end, equal tokens) of the run with most equal tokens among those of MIN_IDENTITY.
 
@@ -108,143 +151,213 @@ def best_run(equal: np.ndarray) -> tuple[int, int, int]:
     return start + int(on[0]), start + int(on[-1]) + 1, n
 
 
-def masks_of(n: int) -> tuple[str, ...]:
-    """The masks under which an item of n tokens is hashed."""
-    return MASKS if n > SHORTEST else SHORT_MASKS
-
-
-class Block:
-    """The seed index of one block of benchmark items."""
-
-    def __init__(self, items: list[tuple[object, str]]) -> None:
-        self.vocab: dict[str, int] = {}
-        self.items: list[tuple[object, np.ndarray]] = []
-        for key, text in items:
-            words = tokens(text)
-            if len(words) >= SHORTEST:
-                self.items.append((key, np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.int64)))
-        sizes = np.array([len(ids) for _, ids in self.items], np.int64)
-        self.ends = np.cumsum(sizes)
-        self.begins = self.ends - sizes
-        self.flat = np.concatenate([np.empty(0, np.int64), *(ids for _, ids in self.items)])
-        self.needed = np.array([needed(n) for n in sizes.tolist()], np.int64)
-        self.seeds: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for mask in MASKS + SHORT_MASKS:
-            own = [k for k, (_, ids) in enumerate(self.items) if mask in masks_of(len(ids))]
-            if own:
-                found = [window_hashes(self.items[k][1], mask) for k in own]
-                h = np.concatenate([h for _, h in found])
-                order = np.argsort(h, kind="stable")
-                k = np.repeat(np.array(own, np.int64), [len(at) for at, _ in found])
-                self.seeds[mask] = h[order], k[order], np.concatenate([at for at, _ in found])[order]
-
-    def near(self, ids: np.ndarray, k: np.ndarray, offset: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(item, shift) of the hits with enough equal tokens within LONGEST tokens of the seed."""
-        mine = self.begins[k, None] + offset[:, None] + np.arange(1 - LONGEST, LONGEST)
-        theirs = at[:, None] + np.arange(1 - LONGEST, LONGEST)
-        inside = (mine >= self.begins[k, None]) & (mine < self.ends[k, None]) & (theirs >= 0) & (theirs < len(ids))
-        equal = inside & (self.flat.take(mine, mode="clip") == ids.take(theirs, mode="clip"))
-        ok = equal.sum(axis=1) >= self.needed[k]
-        return zip(k[ok].tolist(), (at - offset)[ok].tolist(), strict=True)
-
-    def hits(self, text: str) -> list[tuple[object, int, int, int]]:
-        """(item, first token, end token, equal tokens) of every item that the text holds, at its best alignment."""
-        get = self.vocab.get
-        ids = np.array([get(w, 0) for w in tokens(text)], np.int64)
-        places: set[tuple[int, int]] = set()
-        for mask, (hashes, items, offsets) in self.seeds.items():
-            at, h = window_hashes(ids, mask)
-            left = np.searchsorted(hashes, h, "left")
-            n = np.searchsorted(hashes, h, "right") - left
-            at, left, n = at[n > 0], left[n > 0], n[n > 0]
-            before = np.cumsum(n) - n
-            total = int(n.sum())
-            for lo in range(0, total, HITS):
-                hit = np.arange(lo, min(lo + HITS, total))
-                own = np.searchsorted(before, hit, "right") - 1
-                seed = left[own] + hit - before[own]
-                places.update(self.near(ids, items[seed], offsets[seed], at[own]))
-        best: dict[int, tuple[int, int, int]] = {}
-        for k, shift in places:
-            own = self.items[k][1]
-            lo, hi = max(0, -shift), min(len(own), len(ids) - shift)
-            equal = own[lo:hi] == ids[lo + shift : hi + shift]
-            start, end, same = best_run(equal)
-            run = lo + shift + start, lo + shift + end, same
-            if same >= needed(len(own)) and (k not in best or (same, -run[0]) > (best[k][2], -best[k][0])):
-                best[k] = run
-        return [(self.items[k][0], *found) for k, found in sorted(best.items())]
-
-
-def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
-    """The distinct benchmark texts in bounded blocks; the driver holds one at a time."""
-    distinct = id_and_text(benchmark, id_col, text_col).filter("text <> ''").groupBy("text").agg(F.min("id").alias("id"))
-    block: list[tuple[object, str]] = []
-    size = 0
-    for r in distinct.select("id", "text").toLocalIterator():
-        n = len(r["text"]) // 2
-        if block and (len(block) >= BLOCK_ITEMS or size + n > BLOCK_TOKENS):
-            yield block
-            block, size = [], 0
-        block.append((r["id"], r["text"]))
-        size += n
-    if block:
-        yield block
+def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(item, id, toks, n) of the distinct benchmark texts of SHORTEST tokens and more."""
+    rows = id_and_text(benchmark, id_col, text_col).filter("text <> ''")
+    distinct = rows.groupBy("text").agg(F.min("id").alias("id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bytes] = {}
+        for b in batches:
+            toks = [np.frombuffer(numbers(tokens(t.as_py()), known), ">u8").astype("<u8").view("<i8") for t in b.column(1)]
+            keep = [i for i, x in enumerate(toks) if len(x) >= SHORTEST]
+            own = [toks[i] for i in keep]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(own, pa.list_(pa.int64())), pa.array([len(x) for x in own], pa.int32())], names=["id", "toks", "n"])
+
+    found = distinct.select("id", "text").mapInArrow(run, with_id(distinct, ("toks", T.ArrayType(T.LongType())), ("n", T.IntegerType())))
+    return stored(found.withColumn("item", F.monotonically_increasing_id()), "benchmark-items")
+
+
+def seeds_of(items: DataFrame) -> DataFrame:
+    """(h, item, at, least): each window of each item, and the hits that the item asks for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, toks in zip(b.column(0), b.column(1), strict=True):
+                x = toks.values.to_numpy().view(np.uint64)
+                found = [windows(x, m) for m in masks_of(len(x))]
+                h, at = np.concatenate(found), np.concatenate([np.arange(len(f)) for f in found])
+                own = [np.full(len(h), v) for v in (item.as_py(), least_hits(len(x)))]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(own[0], pa.int64()), pa.array(at, pa.int32()), pa.array(own[1], pa.int32())], names=["h", "item", "at", "least"])
+
+    return stored(items.select("item", "toks").mapInArrow(run, "h long, item long, at int, least int"), "benchmark-seeds")
+
+
+def bitmap(seeds: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """Bytes with two bits set for each hash, and the number of bits as a power of two; built by Spark, 4 KB a row."""
+    power = min(MAX_BITS, max(16, (BITS_A_SEED * n).bit_length()))
+    both = F.array(F.shiftrightunsigned("h", 64 - power), F.col("h").bitwiseAND(F.lit((1 << power) - 1)))
+    places = seeds.select(F.explode(both).alias("p")).select((F.col("p") + 1).alias("p"))
+    rows = places.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    out = np.zeros(1 << power >> 3, np.uint8)
+    for r in rows:
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)
+        at = (r["bucket"] - 1) * len(part)
+        out[at : at + len(part)] = part[: len(out) - at]
+    return out, power
+
+
+def hits_in(x: np.ndarray, masks: tuple[str, ...], bits: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the windows that are in the bitmap, by place."""
+    places, hashes = [], []
+    for m in masks:
+        h = windows(x, m)
+        at = np.arange(len(h))
+        for p in (lambda h: h >> np.uint64(64 - power), lambda h: h & np.uint64((1 << power) - 1)):
+            k = p(h)
+            on = (bits[k >> np.uint64(3)] >> (k & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            at, h = at[on], h[on]
+        places.append(at)
+        hashes.append(h)
+    at, h = np.concatenate(places), np.concatenate(hashes)
+    order = np.argsort(at, kind="stable")
+    return at[order], h[order]
+
+
+def close(at: np.ndarray, k: int) -> np.ndarray:
+    """Which of the sorted places are among k within LONGEST tokens."""
+    live = np.zeros(len(at), bool)
+    for i in np.flatnonzero(at[k - 1 :] - at[: len(at) - k + 1] < LONGEST) if len(at) >= k else ():
+        live[i : i + k] = True
+    return live
+
+
+def passages_of(x: np.ndarray, ends: np.ndarray, masks: tuple[str, ...], k: int, bits: np.ndarray, power: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """(text, first token, end token, places of hits, hashes) of texts whose tokens are joined in x and end at ``ends``."""
+    at, h = hits_in(x, masks, bits, power)
+    own = np.searchsorted(ends, at, "right")
+    for d in np.unique(own).tolist():
+        lo, hi = np.searchsorted(own, [d, d + 1])
+        live = close(at[lo:hi], k)
+        if not live.any():
+            continue
+        begin, end = int(ends[d - 1]) if d else 0, int(ends[d])
+        a, g = at[lo:hi][live], h[lo:hi][live]
+        cuts = np.flatnonzero(np.diff(a) >= 2 * LONGEST) + 1
+        for part, hashes in zip(np.split(a, cuts), np.split(g, cuts), strict=True):
+            yield d, max(begin, int(part[0]) - LONGEST + 1), min(end, int(part[-1]) + LONGEST), part, hashes
+
+
+def scan(rows: DataFrame, masks: tuple[str, ...], k: int, bits: np.ndarray, power: int) -> DataFrame:
+    """(id, text_sha, row, first, toks, hits) of every passage of rows (id, text): the token it begins at, its token hashes, its hits (h, at)."""
+    raw = bits.tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bytes] = {}
+        table = np.frombuffer(raw, np.uint8)
+        kind = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())]))
+        names = ["id", "text_sha", "nth", "first", "toks", "hits"]
+
+        def told(b: pa.RecordBatch, chunk: list[tuple[int, int, bytes]], nth: int) -> pa.RecordBatch | None:
+            x = np.frombuffer(b"".join(t for _, _, t in chunk), ">u8").astype("<u8")
+            ends = np.cumsum([len(t) // 8 for _, _, t in chunk])
+            begins = np.concatenate([[0], ends[:-1]])
+            found = list(passages_of(x, ends, masks, k, table, power))
+            if not found:
+                return None
+            at = [chunk[d][0] for d, *_ in found]
+            shas = {i: hashlib.sha256(b.column(1)[i].as_py().encode("utf-8", "surrogatepass")).digest() for i in set(at)}
+            return pa.RecordBatch.from_arrays(
+                [
+                    b.column(0).take(pa.array(at, pa.int64())),
+                    pa.array([shas[i] for i in at], pa.binary()),
+                    pa.array([nth + i for i in at], pa.int64()),
+                    pa.array([chunk[d][1] + lo - int(begins[d]) for d, lo, *_ in found], pa.int64()),
+                    pa.array([x[lo:hi].view(np.int64) for _, lo, hi, *_ in found], pa.list_(pa.int64())),
+                    pa.array([[{"h": u, "at": v} for u, v in zip(h.view(np.int64).tolist(), (a - lo).tolist(), strict=True)] for _, lo, _, a, h in found], kind),
+                ],
+                names=names,
+            )
+
+        nth = 0
+        for b in batches:
+            chunk, size = [], 0
+            for i, text in enumerate(b.column(1)):
+                own = numbers(tokens(text.as_py()), known)
+                # Parts of a very long text overlap by what a run and its reach need.
+                step = 8 * CHUNK
+                for lo in range(0, max(len(own) - 32 * LONGEST, 1), step):
+                    part = own[lo : lo + step + 32 * LONGEST]
+                    chunk.append((i, lo // 8, part))
+                    size += len(part)
+                    if size >= step:
+                        if (out := told(b, chunk, nth)) is not None:
+                            yield out
+                        chunk, size = [], 0
+            if chunk and (out := told(b, chunk, nth)) is not None:
+                yield out
+            nth += b.num_rows
+
+    hit = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("at", T.IntegerType())]))
+    fields = [("text_sha", T.BinaryType()), ("nth", T.LongType()), ("first", T.LongType()), ("toks", T.ArrayType(T.LongType())), ("hits", hit)]
+    found = rows.mapInArrow(run, with_id(rows, *fields))
+    # A row is named by its partition and its place there; both are stored with its passages.
+    return found.withColumn("row", F.spark_partition_id().cast("long") * (1 << 40) + F.col("nth")).drop("nth").withColumn("passage", F.monotonically_increasing_id())
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, hits) of every contaminated row; hits as array<struct<item, first, stop, same>>, offsets in tokens."""
+    """(id, row, text_sha, item, first, stop, same) of every alignment that contaminates a row, offsets in tokens; ``row`` tells rows with the same id apart."""
     rows = id_and_text(docs, id_col, text_col)
-    hit = T.StructType([T.StructField("item", T.StringType()), T.StructField("first", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("same", T.LongType())])
-    schema = with_id(rows, ("hits", T.ArrayType(hit)))
-
-    def scan(items: list[tuple[object, str]]) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = Block(items)
-            kind = pa.list_(pa.struct([("item", pa.string()), ("first", pa.int64()), ("stop", pa.int64()), ("same", pa.int64())]))
-            for b in batches:
-                found = [(i, h) for i, t in enumerate(b.column(1)) if (h := block.hits(t.as_py()))]
-                told = [[{"item": str(k), "first": s, "stop": e, "same": n} for k, s, e, n in h] for _, h in found]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i for i, _ in found], pa.int64())), pa.array(told, kind)], names=["id", "hits"])
-
-        return rows.mapInArrow(run, schema)
-
-    found = [scan(items) for items in blocks(benchmark, item_col, item_text_col)]
-    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
+    items = items_of(benchmark, item_col, item_text_col)
+    sizes = items.groupBy("n").count().collect() if not items.isEmpty() else []  # a row for each length: see least_hits
+    schema = T.StructType([rows.schema["id"], *(T.StructField(n, t) for n, t in (("row", T.LongType()), ("text_sha", T.BinaryType()), ("item", T.StringType()), ("first", T.LongType()), ("stop", T.LongType()), ("same", T.LongType())))])
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], schema)
+    masks = tuple(dict.fromkeys(m for r in sizes for m in masks_of(r["n"])))
+    seeds = seeds_of(items)
+    n_seeds = seeds.count()
+    bits, power = bitmap(seeds, n_seeds)
+    passages = stored(scan(rows, masks, min(least_hits(r["n"]) for r in sizes), bits, power), "passages")
+
+    hits = passages.select("passage", F.explode("hits").alias("hit")).select("passage", F.col("hit.h").alias("h"), F.col("hit.at").alias("place"))
+    met = hits.join(F.broadcast(seeds) if n_seeds <= BROADCAST_SEEDS else seeds, "h")
+    alignments = met.groupBy("passage", "item", (F.col("place") - F.col("at")).alias("shift")).agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least")).filter("n >= least")
+    few = sum(r["n"] * r["count"] for r in sizes) <= BROADCAST_TOKENS
+    own = items.select("item", F.col("id").alias("key"), F.col("toks").alias("own"))
+    pairs = alignments.select("passage", "item", "shift").join(passages.drop("hits"), "passage").join(F.broadcast(own) if few else own, "item")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, runs = [], []
+            for i in range(b.num_rows):
+                toks, item, shift = b.column(3)[i].values.to_numpy(), b.column(4)[i].values.to_numpy(), b.column(5)[i].as_py()
+                lo, hi = max(0, -shift), min(len(item), len(toks) - shift)
+                start, end, same = best_run(item[lo:hi] == toks[lo + shift : hi + shift])
+                if same >= needed(len(item)):
+                    keep.append(i)
+                    first = b.column(6)[i].as_py() + lo + shift
+                    runs.append((first + start, first + end, same))
+            t = pa.array(keep, pa.int64())
+            cols = [pa.array([r[k] for r in runs], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(t), b.column(1).take(t), b.column(2).take(t), b.column(7).take(t), *cols], names=["id", "row", "text_sha", "item", "first", "stop", "same"])
+
+    return pairs.select("id", "row", "text_sha", "toks", "own", "shift", "first", F.col("key").cast("string").alias("item")).mapInArrow(verify, schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
-    """One row for each id with a hit: n_items, equal_tokens of the best hit, items and spans as text.
-
-    Several blocks of the benchmark may hit the same document, and ids may repeat.
-    """
-    hits = overlaps(docs, benchmark, **columns).select("id", F.explode("hits").alias("h")).select("id", "h.*")
-    per_item = hits.groupBy("id", "item").agg(F.max(F.struct("same", "first", "stop")).alias("best"))
+    """One row for each row of docs with a hit: id, n_items, equal_tokens of the best hit, items and spans (of each item's best hit, the first of equal ones) as text."""
+    found = overlaps(docs, benchmark, **columns)
+    per_item = found.groupBy("row", "id", "item").agg(F.max(F.struct("same", (-F.col("first")).alias("before"), "stop")).alias("best"))
     listed = F.array_sort(F.collect_list(F.struct("item", "best")))
-    return per_item.groupBy("id").agg(F.count(F.lit(1)).cast("long").alias("n_items"), F.max("best.same").alias("equal_tokens"), listed.alias("all")).select(
+    span = lambda x: F.concat_ws(":", x["item"], -x["best"]["before"], x["best"]["stop"])
+    return per_item.groupBy("row", "id").agg(F.count(F.lit(1)).cast("long").alias("n_items"), F.max("best.same").alias("equal_tokens"), listed.alias("all")).select(
         "id",
         "n_items",
         "equal_tokens",
         F.array_join(F.transform("all", lambda x: x["item"]), ",").alias("items"),
-        F.array_join(F.transform("all", lambda x: F.concat_ws(":", x["item"], x["best"]["first"], x["best"]["stop"])), ",").alias("spans"),
+        F.array_join(F.transform("all", span), ",").alias("spans"),
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The clean rows of docs, with all their columns: one pass that filters the batches in place for each block."""
-    schema, at = docs.schema, docs.columns.index(text_col)
+def text_key(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
 
-    def keep(items: list[tuple[object, str]]):  # noqa: ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = Block(items)
-            for b in batches:
-                yield b.filter(pa.array([not (t := x.as_py()) or not block.hits(t) for x in b.column(at)], pa.bool_()))
 
-        return run
-
-    for items in blocks(benchmark, "item_id", "text"):
-        docs = docs.mapInArrow(keep(items), schema)
-    return docs
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The clean rows of docs, with all their columns.  A text is contaminated or not wherever it stands, so its digest names what goes."""
+    key = unused(docs, "text_sha")
+    gone = stored(overlaps(docs, benchmark, id_col, text_col).select(F.col("text_sha").alias(key)).distinct(), "contaminated")
+    return without_rows(docs.withColumn(key, text_key(docs[text_col])), key, gone).select(*docs.columns)
 
 
 def op10_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

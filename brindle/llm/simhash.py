@@ -14,8 +14,9 @@ is abandoned once all its pairs exceed the radius.
 Only distinct fingerprints are compared; copies share one.  A key with more
 than UNIT fingerprints is cut into units that are compared pair by pair in
 tasks of their own.  A unit returns a spanning forest of its links, not the
-links.  Components come from rounds of contraction on the forest's edges, each
-written to the shared folder; nothing is collected.
+links.  Components come from alternating star rounds on the forest's edges, as
+many as the logarithm of a component's longest path, each written to the shared
+folder; the last round's table maps nodes to roots.  Nothing is collected.
 
 Null text counts as empty; texts without words have fingerprint zero and are
 linked like any other.  Each input row gives one output row.
@@ -28,15 +29,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, stored, with_id
+from .common import id_and_text, stored, unused, with_id, without_rows
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Fingerprints of one key that a task compares with each other.
 UNIT = 2048
+#: Keyed fingerprints that a task is dealt.
+TASK_ROWS = 2_000_000
 #: Words of 64 rows that are abandoned together.
 BLOCK = 64
 BLOCK_PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
@@ -192,7 +195,7 @@ def links(fps: DataFrame) -> DataFrame:
     keys = F.array(*(F.xxhash64(F.lit(k), block(a), block(b)) for k, (a, b) in enumerate(BLOCK_PAIRS)))
     keyed = fps.select("fp", F.explode(keys).alias("key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    busy = keyed.join(counts, "key")
+    busy = keyed.join(counts, "key")  # one row a key on the right: adaptive execution splits a hot key's rows
     chunks = F.ceil(F.col("n") / UNIT).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     units = (
@@ -200,32 +203,40 @@ def links(fps: DataFrame) -> DataFrame:
         .select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
         .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "fp")
     )
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() * len(BLOCK_PAIRS) // TASK_ROWS))
     return linked(units.repartition(parts, "g").sortWithinPartitions("g", "fp"))
 
 
+def large_star(edges: DataFrame) -> DataFrame:
+    """Every node's larger neighbours are tied to the smallest of its neighbours and itself; edges (a, b) with a > b."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("m"))
+    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def small_star(edges: DataFrame) -> DataFrame:
+    """Every node and its smaller neighbours are tied to the smallest of them; edges (a, b) with a > b."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    others = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return least.withColumnRenamed("m", "b").unionByName(others).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): a root for every node of edges (a, b), the same throughout a component.
+    """(node, root): the smallest node of its component for every other node of edges (a, b).
 
-    Each round sends every node to its smallest neighbour and contracts; a round is a table in the shared folder.
+    A round is a large star and a small star, written to the shared folder; it
+    doubles how far a node sees, so a path of n links takes about log2(n)
+    rounds.  Rounds end when one changes nothing: then every edge leads to a root.
+    A hub's rows are on the larger side of each join, which adaptive execution splits.
     """
-    edges = stored(edges.filter("a <> b").distinct(), "edges")
-    steps: list[DataFrame] = []
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")).withColumnRenamed("a", "node"), "step")
-        to_a, to_b = step.select(F.col("node").alias("a"), F.col("to").alias("x")), step.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        edges = stored(edges.join(to_a, "a").join(to_b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "edges")
-        steps.append(step)
     spark = edges.sparkSession
-    if not steps:
-        return spark.createDataFrame([], "node long, root long")
-    # From the last round back: where a node of a round goes, its root is known by the rounds after.
-    root = steps[-1].withColumnRenamed("to", "root")
-    for step in reversed(steps[:-1]):
-        later = root.select(F.col("node").alias("to"), F.col("root").alias("final"))
-        root = step.join(later, "to", "left").select("node", F.coalesce("final", "to").alias("root"))
-    return root
+    told = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before, now = None, told(edges)
+    while now != before and now[0]:
+        edges, before = stored(small_star(stored(large_star(edges), "large")), "edges"), now
+        now = told(edges)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if now[0] else spark.createDataFrame([], "node long, root long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,12 +257,12 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Ids may be null or repeated, so id and digest together name a row; of rows that agree in both one stays.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    key = unused(docs, "row")
     row = F.struct(docs[id_col].isNull().alias("last"), docs[id_col].alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    named = docs.withColumn("__row", row)
-    out = near_duplicates(named, "__row", text_col).filter("id <> component_id").select(F.col("id").alias("__row")).distinct()
-    # The window needs no further shuffle or sort where the join has dealt the rows.
-    first = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
-    return named.join(out, "__row", "left_anti").withColumn("__nth", first).filter("__nth = 1").select(*docs.columns)
+    named = docs.withColumn(key, row)
+    found = near_duplicates(named, key, text_col).select(F.col("id").alias(key), (F.col("id") != F.col("component_id")).alias("out"))
+    told = stored(found.groupBy(key, "out").agg(F.count(F.lit(1)).alias("n")).filter("out or n > 1"), "near-out")
+    return without_rows(named, key, told.filter("out").select(key), told.filter("not out").select(key)).select(*docs.columns)
 
 
 def op8_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -381,6 +381,18 @@ def test_links_of_large_keys_lose_nothing(spark, monkeypatch):
     assert classes(lambda f: root.get(f, f - (1 << 64) if f >> 63 else f)) == classes(want.get)
 
 
+@pytest.mark.parametrize("shape", ["rising", "mixed", "hub"])
+def test_components_take_logarithmic_rounds(spark, monkeypatch, shape):
+    n, rng = 1000, random.Random(7)
+    own = list(range(n)) if shape != "mixed" else rng.sample(range(n), n)
+    pairs = [(own[0] if shape == "hub" else own[i], own[i + 1]) for i in range(n - 1)] + [(5000, 5001), (6000, 6000)]
+    rounds = []
+    plain = simhash.large_star
+    monkeypatch.setattr(simhash, "large_star", lambda e: rounds.append(1) or plain(e))
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(1, n)} | {5001: 5000} and len(rounds) <= 12
+
+
 def test_bit_sliced_distances():
     rng = np.random.default_rng(2)
     f = rng.integers(-(2**63), 2**63 - 1, 300, dtype=np.int64)
@@ -460,14 +472,59 @@ def test_planted_passages_are_found_and_clean_texts_left(spark):
     assert {r["doc_id"] for r in clean.collect()} == {i for i, _ in rows} - dirty - {400} and clean.columns == d.columns
 
 
-def test_benchmark_blocks_change_nothing(spark, monkeypatch):
+def brute_hits(texts, items):
+    """(text, item, equal tokens) of every item that a text holds at any alignment, by trying all of them."""
+    out = set()
+    for i, text in texts:
+        t = decontamination.tokens(text or "")
+        for k, item in items:
+            w = decontamination.tokens(item or "")
+            best = max((brute_most_equal([t[j + s] == w[j] for j in range(max(0, -s), min(len(w), len(t) - s))]) for s in range(1 - len(w), len(t))), default=0)
+            if len(w) >= 5 and best >= min(13, -(-4 * len(w) // 5)):
+                out.add((i, str(k), best))
+    return out
+
+
+def test_hits_equal_all_alignments(spark):
+    """Few different words, so that chance brings items and texts close to the criterion everywhere."""
+    rng = random.Random(12)
+    words = [f"v{k}" for k in range(7)]
+    items = [(k, " ".join(rng.choices(words, k=rng.choice([3, 5, 6, 7, 9, 12, 14, 16, 20, 30])))) for k in range(24)]
+    texts = [(i, " ".join(rng.choices(words, k=rng.randint(0, 45)))) for i in range(60)]
+    for i in range(60, 120):  # and copies with a few tokens substituted
+        own = rng.choice(items)[1].split()
+        texts.append((i, " ".join(rng.choice(words) if rng.random() < rng.choice([0.05, 0.1, 0.2]) else w for w in own)))
+    got = decontamination.overlaps(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    best = {(r["id"], r["item"]): r["same"] for r in got.groupBy("id", "item").agg({"same": "max"}).withColumnRenamed("max(same)", "same").collect()}
+    want = brute_hits(texts, items)
+    assert set(best) == {(i, k) for i, k, _ in want} and len(want) > 40
+    assert all(best[i, k] == n for i, k, n in want)
+
+
+def test_given_passages_are_found(spark):
     d, b = table(spark, SF, "documents"), table(spark, SF, "benchmark")
-    whole = sorted(map(tuple, decontamination.op10_contaminated(d, b).collect()))
-    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 7)
-    assert sorted(map(tuple, decontamination.op10_contaminated(d, b).collect())) == whole and whole
     tok = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "
     items = [tok(r["text"]) for r in b.collect()]
-    assert {r[0] for r in whole} >= {r["doc_id"] for r in d.collect() if any(x in tok(r["text"]) for x in items)}
+    got = {r["doc_id"] for r in decontamination.op10_contaminated(d, b).collect()}
+    assert got and got >= {r["doc_id"] for r in d.collect() if any(x in tok(r["text"]) for x in items)}
+
+
+def test_large_benchmarks_are_joined_without_broadcast(spark, monkeypatch):
+    d, b = table(spark, SF, "documents"), table(spark, SF, "benchmark")
+    whole = sorted(map(tuple, decontamination.op10_contaminated(d, b).collect()))
+    for name, value in (("BROADCAST_SEEDS", 0), ("BROADCAST_TOKENS", 0), ("MAX_BITS", 16), ("CHUNK", 256)):
+        monkeypatch.setattr(decontamination, name, value)
+    assert sorted(map(tuple, decontamination.op10_contaminated(d, b).collect())) == whole and whole
+
+
+def test_rows_with_one_id_and_wide_scripts_are_judged_alone(spark):
+    item = "the quick brown fox jumps over the lazy dog and runs off into the deep woods"
+    wide = "今天天气很好我们一起去公园散步吧然后回家吃饭"
+    rows = [(1, f"so {item} it is"), (1, "clean text"), (1, f"so {item} it is"), (None, item), (None, "clean"), (2, f"他说{wide}。")]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(5, item), (6, wide), (None, None), (4, item)], "item_id long, text string")
+    got = decontamination.op10_contaminated(d, b).collect()
+    assert Counter((r["doc_id"], r["items"]) for r in got) == Counter([(1, "4"), (1, "4"), (None, "4"), (2, "6")])
+    assert Counter(map(tuple, decontamination.drop_contaminated(d, b).collect())) == Counter([(1, "clean text"), (None, "clean")])
 
 
 def test_decontamination_awkward(spark, docs):
@@ -491,9 +548,6 @@ def test_runs_are_decided_exactly():
             equal[at] = False
         start, end, same = decontamination.best_run(np.array(equal))
         assert same == brute_most_equal(equal) == sum(equal[start:end]) and 5 * same >= 4 * (end - start)
-    item = [f"w{k}" for k in range(59)]  # 14 equal tokens at the end, among runs of lower identity
-    text = " ".join(w if k >= 45 or k % 3 else "other" for k, w in enumerate(item))
-    assert [h[0] for h in decontamination.Block([(1, " ".join(item))]).hits(text)] == [1]
 
 
 def qualifying_without_seed(n):
@@ -514,26 +568,30 @@ def test_seeds_cover_the_criterion():
     assert [n for n in range(decontamination.SHORTEST, 80) if qualifying_without_seed(n)] == []
 
 
-def test_substitutions_anywhere_are_found():
-    rng = random.Random(9)
+def test_fewest_hits_are_those_of_all_runs():
+    for n in range(5, 15):
+        masks, need, fewest = decontamination.masks_of(n), min(13, -(-4 * n // 5)), 99
+        for size in range(need, n + 1):
+            for other in range(1 << size):
+                run = [not other >> k & 1 for k in range(size)]
+                if sum(run) >= need and 5 * sum(run) >= 4 * size:
+                    fewest = min(fewest, sum(all(run[i + k] for k, c in enumerate(m) if c == "1") for m in masks for i in range(size - len(m) + 1)))
+        assert decontamination.least_hits(n) == fewest > 0
+
+
+def test_substitutions_anywhere_are_found(spark):
+    rng, items, texts, want = random.Random(9), [], [], set()
     for n in range(5, 60):
-        item = [f"w{k}" for k in range(n)]
-        block, need = decontamination.Block([(0, "w1 w2 w3 unlike that"), (1, " ".join(item))]), min(13, -(-4 * n // 5))
+        item = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
         for _ in range(25):
             other = set(rng.sample(range(n), rng.randint(0, n // 4 + 1)))
             run = [k not in other for k in range(n)]
-            text = " ".join(["so", "it", *(w if same else "other" for w, same in zip(item, run, strict=True)), "is"])
-            got = [h[3] for h in block.hits(text) if h[0] == 1]
-            most = brute_most_equal(run)
-            assert got == ([most] if most >= need else []), (n, other)
-
-
-def test_many_hits_are_compared_in_parts(monkeypatch):
-    block = decontamination.Block([(k, f"of the same words {k} a b c d e f g h i j k") for k in range(40)])
-    text = "and of the same words 7 a b c d e f g h i j k of the same words of the same words"
-    whole = block.hits(text)
-    monkeypatch.setattr(decontamination, "HITS", 3)
-    assert block.hits(text) == whole and len(whole) == 40
+            if (most := brute_most_equal(run)) >= min(13, -(-4 * n // 5)):
+                want.add((len(texts), str(n), most))
+            texts.append((len(texts), " ".join(["so", "it", *(w if same else "other" for w, same in zip(item, run, strict=True)), "is"])))
+    got = decontamination.op10_contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["items"], r["equal_tokens"]) for r in got.collect()} == want
 
 
 # All together ----------------------------------------------------------------------
