@@ -9,9 +9,16 @@ decoded by Viterbi.  The main text is the content blocks in page order.
 The labelled pages are generated here (``labelled_pages``): layouts that name
 their parts in many ways, with the label of each block known by construction.
 
+Parsing takes time in proportion to the page, however deep, long or broken it
+is: open elements carry what a block needs of their ancestors, and an end tag
+finds its element by a table.  A start tag whose quotes never close is read up
+to its first ">"; where that happens LOST_QUOTES times, the rest of the page is
+read without regard to quotes.
+
 Null html counts as empty; a page without content blocks has the empty text.
 Scripts, styles and comments are never text.  Each input row gives one output
-row, repeated rows included.
+row, repeated rows included; an empty table gives no row, and further columns
+play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +28,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +42,8 @@ MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)|<([a-zA-Z][^\s/>]*+)((?>[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""",
     re.DOTALL,
 )
+#: A start tag without regard to quotes, and how many start tags with open quotes a page may have until it is used.
+PLAIN_TAG, LOST_QUOTES = re.compile(r"<([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)"), 8
 NAMES = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,34 +64,70 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]  # tags from the root
+    tags: frozenset[str]  # of all ancestors
+    leaf: str  # the innermost ancestor that is not inline
     names: frozenset[str]  # class, id and role words of all ancestors
     inner: tuple[str, frozenset[str]]  # the innermost structural or named element: its tag and words
     links: int  # characters inside links
 
 
-def blocks_of(page: str) -> list[Block]:
+@dataclass(slots=True)
+class Open:
+    """An open element, and what a block inside it knows of the ancestors."""
+
+    tag: str
+    tags: frozenset[str]
+    names: frozenset[str]
+    leaf: str
+    inner: tuple[str, frozenset[str]]
+
+
+NONE: frozenset[str] = frozenset()
+ROOT = Open("", NONE, NONE, "none", ("none", NONE))
+
+
+def blocks_of(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page.  Of the ancestors' tags and words only the known ones are kept, where they are given."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[Open] = []
+    places: dict[str, list[int]] = {}  # where each tag is open
+    boxes: list[int] = []  # where elements that are not inline are open
     parts: list[str] = []
-    links = 0
+    links = lost = 0
     pos, end = 0, len(page)
 
     def flush() -> None:
         nonlocal links
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            inner = next(((t, n) for t, n in reversed(stack) if t in STRUCTURE or (n and t not in INLINE)), ("none", frozenset()))
-            out.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*(n for _, n in stack)), inner, links))
+            at = stack[-1] if stack else ROOT
+            out.append(Block(text, at.tags, at.leaf, at.names, at.inner, links))
         parts.clear()
         links = 0
 
     def add(text: str) -> None:
         nonlocal links
         parts.append(text)
-        if any(t == "a" for t, _ in stack[-4:]):
+        if places.get("a"):
             links += len(text)
 
+    def push(tag: str, names: frozenset[str]) -> None:
+        at = stack[-1] if stack else ROOT
+        inline = tag in INLINE
+        own = names if known is None or not names else names & known
+        tags = at.tags if tag in at.tags or (known is not None and tag not in known) else at.tags | {tag}
+        inner = (tag, own) if tag in STRUCTURE or (names and not inline) else at.inner
+        stack.append(Open(tag, tags, at.names if not own or own <= at.names else at.names | own, at.leaf if inline else tag, inner))
+        places.setdefault(tag, []).append(len(stack) - 1)
+        if not inline:
+            boxes.append(len(stack) - 1)
+
+    def pop() -> None:
+        tag = stack.pop().tag
+        places[tag].pop()
+        if tag not in INLINE:
+            boxes.pop()
+
     while pos < end:
         at = page.find("<", pos)
         if at < 0:
@@ -89,38 +135,39 @@ def blocks_of(page: str) -> list[Block]:
         if at > pos:
             add(page[pos:at])
         m = MARKUP.match(page, at) if at < end else None
+        if m is not None and (m[2] or m[4]) and lost >= LOST_QUOTES:
+            m = PLAIN_TAG.match(page, at)
+            tag, attrs = m[1].lower(), m[2]
+        elif m is not None:
+            lost += m[4] is not None
+            tag, attrs = (m[2] or m[4] or "").lower(), m[3] if m[2] else m[5]
         if m is None:
             if at < end:  # a "<" that opens nothing is text
                 add("<")
             pos = at + 1
             continue
         pos = m.end()
-        if m[1]:
+        if m.re is MARKUP and m[1]:
             tag = m[1].lower()
             if tag not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            if (own := places.get(tag)) and (tag not in INLINE or not boxes or own[-1] > boxes[-1]):
+                for _ in range(len(stack) - own[-1]):
+                    pop()
             continue
-        tag = (m[2] or m[4] or "").lower()
         if not tag:
             continue
         if tag not in INLINE:
             flush()
-            while stack and stack[-1][0] in INLINE and any(t == "p" for t, _ in stack):
-                stack.pop()
-            if stack and stack[-1][0] == "p" and tag != "br":
-                stack.pop()
+            while stack and stack[-1].tag in INLINE and places.get("p"):
+                pop()
+            if stack and stack[-1].tag == "p" and tag != "br":
+                pop()
             for own in CLOSES.get(tag, ()):
-                if stack and stack[-1][0] == own:
-                    stack.pop()
+                if stack and stack[-1].tag == own:
+                    pop()
         if tag in VOID:
             continue
-        attrs = m[3] if m[2] else m[5]
         if tag in FOREIGN and attrs.endswith("/") and not BARE_VALUE.search(attrs):
             continue
         if tag in RAW and tag != "head":
@@ -128,8 +175,7 @@ def blocks_of(page: str) -> list[Block]:
             pos = close.start() if close else end
             if tag == "option":
                 continue
-        names = frozenset(w.lower() for v in NAMES.findall(attrs) for w in WORDS.findall("".join(v)))
-        stack.append((tag, names))
+        push(tag, frozenset(w.lower() for v in NAMES.findall(attrs) for w in WORDS.findall("".join(v))) if attrs else NONE)
     flush()
     return out
 
@@ -140,14 +186,13 @@ def features(blocks: list[Block]) -> list[list[str]]:
     for b in blocks:
         n = len(b.text)
         words = b.text.count(" ") + 1
-        leaf = next((t for t in reversed(b.path) if t not in INLINE), "none")
-        own = {f"t:{t}" for t in b.path} | {f"c:{w}" for w in b.names}
-        own |= {f"leaf:{leaf}", f"len:{min(n.bit_length(), 10)}", f"links:{4 * b.links // n if n else 0}"}
+        own = {f"t:{t}" for t in b.tags} | {f"c:{w}" for w in b.names}
+        own |= {f"leaf:{b.leaf}", f"len:{min(n.bit_length(), 10)}", f"links:{4 * b.links // n if n else 0}"}
         if words > 8 and b.text[-1] in ".!?…»\"":
             own.add("sentence")
         if "©" in b.text or "copyright" in b.text.lower():
             own.add("copyright")
-        inside = "article" in b.path or "main" in b.path
+        inside = "article" in b.tags or "main" in b.tags
         own |= {f"inner:{b.inner[0]}", f"inside:{inside}", f"inner:{b.inner[0]}:{inside}"} | {f"own:{w}" for w in b.inner[1]}
         out.append(sorted(own))
     return out
@@ -246,6 +291,9 @@ def labelled(rng: random.Random) -> tuple[list[Block], list[int]]:
         inner = f'<div {rng.choice(["class", "id"])}="{rng.choice(MAIN_NAMES)}">{inner}</div>'
     elif frame < 0.93:
         inner = f'<section class="{rng.choice(MAIN_NAMES)}">{inner}</section>'
+    elif frame < 0.97:  # a page laid out as a table
+        cells = [f"<td>{links(2, 8)}</td>", f"<td>{inner}</td>", *([f"<td>{links(1, 6)}</td>"] if rng.random() < 0.4 else [])]
+        inner = f"<table><tr>{''.join(cells)}</tr></table>"
     before = [aside(t) for t in rng.sample(["nav", "header", "div", "form", "ul", "nav", "div"], rng.randint(0, 4))]
     after = [aside(t) for t in rng.sample(["aside", "div", "section", "footer", "nav", "form", "section"], rng.randint(0, 4))]
     if rng.random() < 0.6:
@@ -271,6 +319,11 @@ class Field:
     bias: float
     moves: list[list[float]]
 
+    @property
+    def known(self) -> frozenset[str]:
+        """The tags and words that some weight is about; others change nothing."""
+        return frozenset(f.partition(":")[2] for f in self.weights if f.startswith(("t:", "c:", "own:"))) | {"article", "main"}
+
     def unary(self, own: list[list[str]]) -> list[float]:
         w, b = self.weights, self.bias
         return [b + sum([w.get(f, 0.0) for f in fs]) for fs in own]
@@ -335,20 +388,27 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 220, rate: f
     return Field({f: float(w[i]) for f, i in seen.items()}, float(w[k]), w[k + 1 :].reshape(2, 2).tolist())
 
 
-def main_text(page: str, field: Field) -> str:
-    blocks = blocks_of(page)
+@lru_cache(maxsize=1)
+def default_field() -> Field:
+    """The field trained on the generated pages, once in a process."""
+    return train(labelled_pages())
+
+
+def main_text(page: str, field: Field, known: frozenset[str] | None = None) -> str:
+    blocks = blocks_of(page, known or field.known)
     labels = field.decode(features(blocks))
     return " ".join(b.text for b, y in zip(blocks, labels, strict=True) if y)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", field: Field | None = None) -> DataFrame:
     """(id, main): the main text of every row of pages."""
-    field = field or train(labelled_pages())
+    field = field or default_field()
+    known = field.known
     rows = id_and_text(pages, id_col, html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([main_text(t.as_py(), field) for t in b.column(1)], pa.string())], names=["id", "main"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([main_text(t.as_py(), field, known) for t in b.column(1)], pa.string())], names=["id", "main"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, main string")
 

@@ -10,6 +10,9 @@ documents are dealt anew to fewer partitions, and best-fit decreasing runs
 again, for as long as that saves sequences.  A repacking that saves none is
 thrown away.
 
+Pieces are dealt by a stored row number, so that repeated and null ids are
+spread like any other.
+
 Null text counts as empty (a piece of the end id alone); repeated rows are
 packed each; an empty table gives no piece.
 """
@@ -111,14 +114,14 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def pack_round(pieces: DataFrame, n: int, capacity: int, round_no: int) -> DataFrame:
-    """pieces (id, piece, length) with sequence_id, offset and released: whether their bin has room and their partition a gap."""
+    """pieces (row, length) with sequence_id, offset and released: whether their bin has room and their partition a gap."""
     parts = max(1, -(-n // PARTITION_PIECES))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        t = pa.Table.from_batches(got).sort_by([("length", "descending"), ("id", "ascending"), ("piece", "ascending")])
+        t = pa.Table.from_batches(got).sort_by([("length", "descending"), ("row", "ascending")])
         lengths = t.column("length").to_numpy()
         bins, offsets, fill = best_fit(lengths, capacity)
         gap = len(fill) > lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
@@ -128,12 +131,12 @@ def pack_round(pieces: DataFrame, n: int, capacity: int, round_no: int) -> DataF
         yield from t.combine_chunks().to_batches(max_chunksize=65_536)
 
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("released", T.BooleanType())])
-    dealt = pieces.repartition(parts, F.xxhash64("id", "piece", F.lit(round_no)))
+    dealt = pieces.repartition(parts, F.xxhash64("row", F.lit(round_no)))
     return stored(dealt.mapInArrow(pack, schema), "packed")
 
 
 def place(pieces: DataFrame, capacity: int, rounds: int | None = None) -> DataFrame:
-    """(id, piece, length, sequence_id, offset) of pieces (id, piece, length), none longer than capacity.
+    """pieces with sequence_id and offset added; pieces: row (a number of its own), length (capacity at most) and what travels with them.
 
     Without ``rounds`` until a repacking saves nothing: each that is kept has fewer sequences than it was given.
     """
@@ -154,18 +157,19 @@ def place(pieces: DataFrame, capacity: int, rounds: int | None = None) -> DataFr
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = BYTE_TOKENIZER, end_id: int = 2, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """(id, piece, start, length, ids_crc32, sequence_id, offset[, token_ids]) of every piece."""
-    cut = stored(cut_pieces(id_and_text(docs, id_col, text_col), tokenizer, end_id, capacity, keep_ids), "pieces")
-    # Repeated rows have equal keys; a row number of the stored file tells them apart.
+    """(id, piece, start, length, ids_crc32, sequence_id, offset[, token_ids]) of every piece.
+
+    A piece's few numbers travel through the packing with it; its token ids stay where they are until its place is known.
+    """
+    cut = cut_pieces(id_and_text(docs, id_col, text_col), tokenizer, end_id, capacity, keep_ids)
+    cut = stored(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    full = cut.filter(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("row"), "offset": F.lit(0).cast("long")})
     rows = cut.filter(F.col("length") < capacity)
-    full = cut.filter(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    extra = [c for c in cut.columns if c not in ("id", "piece", "length")]
+    names = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     if not keep_ids:
-        placed = place(rows, capacity)  # a piece's few numbers travel with it
-        return placed.unionByName(full).select("id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
-    numbered = stored(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    placed = place(numbered.select(F.col("row").alias("id"), "piece", "length"), capacity).select(F.col("id").alias("row"), "sequence_id", "offset")
-    return numbered.join(placed, "row").drop("row").unionByName(full).select("id", "piece", "length", *extra, "sequence_id", "offset")
+        return place(rows, capacity).unionByName(full).select(*names)
+    placed = place(rows.select("row", "length"), capacity).select("row", "sequence_id", "offset")
+    return rows.join(placed, "row").unionByName(full).select(*names, "token_ids")
 
 
 def certificate(packed: DataFrame, capacity: int = CAPACITY) -> dict[str, int]:

@@ -4,7 +4,9 @@ Tokens of a text are its white-space words and the words' shapes (runs of
 capitals, small letters and digits shrunk to A, a and 0, other characters
 kept).  Every token is hashed to a bucket with a sparse ternary index vector;
 a bucket's context vector is the sum of the index vectors of its neighbours in
-a bounded labelled sample (random indexing).  A document is the mean of its
+a bounded labelled sample (random indexing).  Words that fall into the same
+bucket share a vector, which at WORDS buckets happens to every rare word and is
+the price of a bounded model.  A document is the mean of its
 words' vectors, the mean of its shapes' vectors and a few counts; a network of
 two layers in numpy maps it to a score, and a temperature fitted on labelled
 rows that the network has not seen calibrates it.
@@ -12,7 +14,9 @@ rows that the network has not seen calibrates it.
 At most TRAIN_ROWS labelled rows are used (those of the smallest hash of the
 id); labels, lang, source and ids are never inputs of a score.  Null text
 counts as empty; an empty text has zero vectors and gets a score like any
-other.  Each input row gives one output row.
+other.  Very long texts are pooled in parts.  Each input row gives one output
+row; further columns play no part, whatever their names.  An empty table gives
+no row.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ RUN = re.compile(r"A+|a+|0+")
 
 def shape_of(word: str) -> str:
     flat = "".join(["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word])
-    return RUN.sub(lambda m: m[0][0], flat)[:12]
+    return RUN.sub(lambda m: m[0][0], flat)
 
 
 def index_vectors() -> np.ndarray:

@@ -7,7 +7,9 @@ hexadecimal digits has no keyword; its literal is sixteen marks in a row of a
 mask of the text, found with a substring search.
 
 Null text counts as empty; an empty text has no span.  Each input row gives one
-output row, repeated rows included, and offsets count code points.
+output row, repeated rows included, and offsets count code points.  Texts of
+any length are scanned whole; an empty table gives no row, and further columns
+play no part, whatever their names.
 """
 
 from __future__ import annotations

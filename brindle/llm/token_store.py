@@ -12,7 +12,9 @@ Ids are serialized as little-endian unsigned 16-bit integers where the
 vocabulary allows it and 32-bit ones otherwise; each document is compressed
 alone with the shared dictionary, so that reading a short document decompresses
 that document only.  The dictionary is trained on a bounded sample, documented
-at SAMPLE_DOCS; every document is encoded and stored.
+at SAMPLE_DOCS; every document is encoded and stored.  A sample below 4 KB gives
+no dictionary, one on which training fails gives its own last bytes as a raw
+dictionary; the store says which by the bytes it holds.
 
 Null text counts as empty (a document of the end id alone), null ids come
 first, rows with the same id follow each other in any order, an empty table
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, shared_path, with_id
+from .common import id_and_text, partitions_for, shared_path, with_id
 from .encoding import Encoder
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -121,9 +123,10 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     schema = T.StructType(
         [T.StructField("first_id", key), T.StructField("last_id", key), T.StructField("part", T.IntegerType()), T.StructField("number", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("tokens", T.LongType()), T.StructField("ids", T.ArrayType(key)), T.StructField("counts", longs), T.StructField("offsets", longs), T.StructField("lengths", longs), T.StructField("blob", T.BinaryType()), T.StructField("dict_hash", T.StringType())]
     )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
-    ordered.mapInArrow(blobs, schema).write.parquet(f"{path}/blobs")
+    # Rows of one id, null included, are spread over as many ranges as they need.
+    order = [F.col("id").asc_nulls_first(), F.col("spread")]
+    ordered = rows.withColumn("spread", F.xxhash64("text", F.monotonically_increasing_id())).repartitionByRange(partitions_for(docs), *order).sortWithinPartitions(*order)
+    ordered.select("id", "text").mapInArrow(blobs, schema).write.parquet(f"{path}/blobs")
 
 
 def open_store(spark: SparkSession, path: str) -> tuple[DataFrame, bytes, str]:
