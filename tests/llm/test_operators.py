@@ -297,14 +297,31 @@ def test_classifiers_on_awkward_rows(spark, docs, op):
     assert op(empty(spark), few).count() == 0
 
 
-def test_label_model_finds_accuracies():
+def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(4)
-    y = rng.random(4000) < 0.2
-    vote = lambda acc: np.where(rng.random(4000) < 0.3, 0, np.where((rng.random(4000) < acc) == y, 1, -1))
-    good = [vote(0.9) for _ in range(4)]
-    v = np.stack([*good, good[0], vote(0.5)], axis=1)
-    post, corr = toxicity.label_model(v, 0.2)
-    assert ((post > 0.5) == y).mean() > 0.93 and corr[0, 4] > 0.9 > abs(corr[0, 5])
+    y = rng.random(6000) < 0.25
+    vote = lambda acc: np.where(rng.random(6000) < 0.3, 0, np.where((rng.random(6000) < acc) == y, 1, -1))
+    follows = lambda v, share: np.where(rng.random(6000) < share, v, vote(0.7))
+    first, weak = vote(0.85), vote(0.65)
+    v = np.stack([first, vote(0.9), vote(0.8), vote(0.85), follows(first, 0.8), weak, follows(weak, 0.9), follows(weak, 0.9), vote(0.5)], axis=1)
+    post, accuracies, cor = toxicity.label_model(v, 0.25)
+    pairs = sorted(((cor[i, j], (i, j)) for i in range(9) for j in range(i)), reverse=True)
+    # The copies of a voter are tied to it, and hardly to each other beyond that.
+    assert {(j, i) for _, (i, j) in pairs[:3]} == {(0, 4), (5, 6), (5, 7)} and pairs[3][1] == (7, 6) and pairs[4][0] < 0.5
+    assert accuracies[1] > accuracies[2] > 1 > 0.5 > max(accuracies[[4, 6, 7, 8]])
+    assert ((post > 0.5) == y).mean() > 0.93
+
+
+def test_voters_have_meanings():
+    model = toxicity.Model({"^lowei": (5.0, 1), "grob": (4.0, 1)}, {"^lowei": 0, "grob": 1}, np.zeros(2 + toxicity.N_EXTRA + 1), np.zeros(0), np.zeros((0, 0)))
+    names = [f"{lang} {k}" for lang in toxicity.LEXICONS for k in range(3)] + [f"{a} {b}" for a, b in toxicity.MINED] + list(toxicity.PATTERNS)
+    assert len(names) == toxicity.N_VOTERS >= 25
+    said = lambda text: {names[k]: v for k, v in enumerate(model.look(text, voting=True)[2]) if v}
+    assert said("You are such an idiot") == {"en 0": 1, "de 0": 1, "fr 0": 1, "second person": 1}
+    assert said("what a st*pid thing") == {"masked": 1} and said("soooo stuuupid") == {"stretched": 1} and said("TRASH here") == {"en 1": 1, "capitals": 1}
+    assert said("loweiab und der die grob grob") == {"de word": 1, "de beginning": 1, "repeated": 1}
+    assert said("der die das und ein von sehr klug mit worten heute gesagt") == {"de word": -1, "de beginning": -1, "clean": -1}
+    assert said("") == {} and said("eres patético, basura") == {"es 1": 1, "es 2": 1, "second person": 1, "several": 1}
 
 
 # op7 -------------------------------------------------------------------------------
@@ -680,13 +697,49 @@ def test_pipeline_stages(spark):
 
 
 def test_pipeline_stages_on_awkward_rows(spark, docs, tmp_path):
+    """Each stage against brute force, row by row: null and repeated ids, repeated rows, null texts."""
     small = str(tmp_path)
-    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(f"{small}/benchmark.parquet")
+    item = "one benchmark item that is long enough to be found in a text of many other words"
+    spark.createDataFrame([(1, "a b c"), (2, item)], "item_id long, text string").write.parquet(f"{small}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{small}/labels.parquet")
-    for start in (docs, empty(spark)):
-        rows = start
-        for _, stage in corpus_pipeline.STAGES:
-            rows = stage(spark, rows, small)
-        assert (rows.count() > 0) == (start is docs)
-
-
+    extra = [(None, f"x {item}", None), (50, f"x {item} y", "t"), (50, "clean words under the same id", "t"), (None, "clean", "t"), (None, "clean", "t"), (61, "one two three four five", "u")]
+    rows = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string, lang string"), allowMissingColumns=True)
+    stages = dict(corpus_pipeline.STAGES)
+    told = lambda df: Counter((r["doc_id"], r["text"], r["lang"]) for r in df.collect())
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    order = lambda i: (i is None, i or 0)
+    assert told(stages["quality"](spark, rows, small)) == told(rows)  # without labels nothing is known against a text
+    given, groups = told(rows), defaultdict(list)
+    for (i, t, lang), n in given.items():
+        groups[norm(t)] += [(-len(t or ""), order(i), i, t, lang)] * n
+    kept = stages["exact_dedup"](spark, rows, small)
+    got = told(kept)
+    assert not got - given and Counter(norm(t) for _, t, _ in got.elements()) == Counter(dict.fromkeys(groups, 1))
+    assert all((-len(t or ""), order(i)) == min(x[:2] for x in groups[norm(t)]) for i, t, _ in got)
+
+    parts = defaultdict(list)
+    fps = sorted({brute_fingerprint(t) for _, t, _ in got})
+    root = brute_components([(k, f) for k, f in enumerate(fps)])
+    for i, t, lang in got.elements():
+        parts[root[brute_fingerprint(t)]].append((order(i), hashlib.sha256((t or "").encode()).digest(), i, t, lang))
+    near = stages["near_dedup"](spark, kept, small)
+    assert Counter((i, t) for i, t, _ in told(near).elements()) == Counter(min(own)[2:4] for own in parts.values())
+    clean = stages["decontamination"](spark, rows, small)
+    assert told(clean) == Counter({k: n for k, n in given.items() if item not in (k[1] or "")})
+    enc = Encoder(packing.BYTE_TOKENIZER)
+    whole = Counter()
+    pieces = defaultdict(list)
+    for r in stages["packing"](spark, rows, small).collect():
+        pieces[r["sequence_id"]].append((r["offset"], r["length"], r["token_ids"]))
+        whole[r["doc_id"]] += len(r["token_ids"])
+    for own in pieces.values():  # gapless, within the capacity
+        ids = [x for _, _, p in sorted(own) for x in p]
+        assert len(ids) <= 1024 and [o for o, *_ in sorted(own)] == [sum(n for _, n, _ in sorted(own)[:k]) for k in range(len(own))]
+    want = Counter()
+    for i, t, _ in given.elements():
+        want[i] += len(enc.ids(t or "")) // 4 + 1
+    assert whole == want
+    start = empty(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        start = stage(spark, start, small)
+    assert start.count() == 0
