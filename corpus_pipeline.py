@@ -1,7 +1,10 @@
 """Training-data pipeline: quality, exact dedup, near dedup, decontamination, packing.
 
 Each stage works on all that its predecessor kept and returns the columns of
-documents; the last returns the packed pieces.
+documents; the last returns the packed pieces with their token ids.  Between
+the stages only keys of rows are shuffled, as long as few enough rows go that
+their keys may be broadcast; what a stage stores for itself is deleted once its
+result is written.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import decontamination, exact_dedup, packing, quality, simhash
-from brindle.llm.common import stored, table
+from brindle.llm.common import scratch, shared_path, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +36,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, each with its sequence and place."""
-    return packing.op7_packing(docs)
+    """The pieces of all documents with their token ids, each with its sequence and place."""
+    return packing.pack_documents(docs, keep_ids=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
@@ -52,5 +55,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = shared_path(spark, f"stage-{name}")
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), name, path)
     return STAGES[-1][1](spark, docs, sf_dir)
