@@ -7,12 +7,14 @@ nothing runs row by row.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Table
+from .relational import checkpointed
 
 
 class ConstraintError(ValueError):
@@ -96,6 +98,19 @@ def upsert(table: Table, rows: DataFrame, key: list[str], assign: dict[str, str]
     """
     if assign is None:
         return insert(table, rows, "ignore")
+    # Of new rows with one key the first is inserted or updates; the others then meet it, in order.
+    numbered = rows.withColumn("__at", F.monotonically_increasing_id())
+    numbered = numbered.withColumn("__turn", F.when(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key]), 1).otherwise(F.row_number().over(Window.partitionBy(*key).orderBy("__at"))))
+    turns = numbered.agg(F.max("__turn")).first()[0] or 1
+    if turns > 1:
+        numbered = checkpointed(numbered)
+        touched, state = [], table
+        for turn in range(1, turns + 1):
+            df, hit = upsert(state, numbered.filter(F.col("__turn") == turn).drop("__at", "__turn"), key, assign, where)
+            df = checkpointed(df)
+            state = replace(state, df=df)
+            touched.append(hit)
+        return state.df, reduce(DataFrame.unionByName, touched)
     new, cols = shaped(table, rows), table.df.columns
     old = table.df.withColumn("__old", F.lit(True))
     ex = new.select(F.struct(*cols).alias("excluded"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -66,9 +67,11 @@ def having(df: DataFrame, aggregates: list[Column], condition: Column) -> DataFr
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of its own where none is set."""
+    """The folder that driver and executors share; one of its own where none is set and all runs in this process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="brindle-steps-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
@@ -131,6 +134,9 @@ def json_each(df: DataFrame, doc: str, path: str = "$") -> DataFrame:
 
 
 def digest(df: DataFrame) -> DataFrame:
-    """Rows and an order-insensitive digest: the sum of row hashes, for checking a copy of a table."""
-    h = F.xxhash64(*(F.col(c).cast("string") for c in df.columns)).cast("decimal(38,0)")
+    """Rows and an order-insensitive digest: the sum of row hashes, for checking a copy of a table.
+
+    The hash skips NULL, so each value goes with a mark that tells whether it is one.
+    """
+    h = F.xxhash64(*(x for c in df.columns for x in (F.col(c).isNull(), F.col(c).cast("string")))).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("digest"))

@@ -132,7 +132,9 @@ def rescored(c: Corpus, hits: DataFrame, terms: list[str], k: int, proximity: fl
 
         return at.map(one)
 
-    return grouped.select("id", (F.col("score") * factor("at")).alias("score"), "matched")
+    best = grouped.select("id", (F.col("score") * factor("at")).alias("score"), "matched")
+    rest = hits.join(F.broadcast(top.select("id")), "id", "left_anti").select("id", "score", "matched")  # top: RESCORE k rows
+    return best.unionByName(rest)
 
 
 # Match expressions -------------------------------------------------------------

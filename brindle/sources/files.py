@@ -113,9 +113,20 @@ def render(df: DataFrame, mode: str = "list", limit: int = 1000, name: str = "ta
     return "\n".join([rule(0), body[0], rule(3), *body[1:], rule(6)])
 
 
-def dump(catalog: Catalog, name: str, limit: int = 100_000) -> str:
-    """SQL text that rebuilds a table."""
+def dump(catalog: Catalog, name: str, limit: int | None = None) -> str:
+    """SQL text that rebuilds a table, all rows of it unless a limit is given; for large tables ``dump_lines`` writes it on the executors."""
+    t = catalog.get(name)
+    return "BEGIN TRANSACTION;\n" + created(catalog, name) + ";\n" + render(t.df, "insert", t.df.count() if limit is None else limit, name) + "\nCOMMIT;"
+
+
+def created(catalog: Catalog, name: str) -> str:
     t = catalog.get(name)
     kinds = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "string": "TEXT", "binary": "BLOB"}
-    create = t.sql or f"CREATE TABLE {name}({', '.join(f'{c} {kinds.get(k, k.upper())}' for c, k in t.df.dtypes)})"
-    return "BEGIN TRANSACTION;\n" + create + ";\n" + render(t.df, "insert", limit, name) + "\nCOMMIT;"
+    return t.sql or f"CREATE TABLE {name}({', '.join(f'{c} {kinds.get(k, k.upper())}' for c, k in t.df.dtypes)})"
+
+
+def dump_lines(catalog: Catalog, name: str) -> DataFrame:
+    """(line): an INSERT for each row, to be written as text; nothing passes through the driver."""
+    t = catalog.get(name)
+    value = lambda c, k: F.coalesce(F.concat(F.lit("'"), F.replace(F.col(c), F.lit("'"), F.lit("''")), F.lit("'")) if k == "string" else F.concat(F.lit("X'"), F.hex(c), F.lit("'")) if k == "binary" else F.col(c).cast("string"), F.lit("NULL"))
+    return t.df.select(F.concat(F.lit(f"INSERT INTO {name} VALUES("), F.concat_ws(",", *(value(c, k) for c, k in t.df.dtypes)), F.lit(");")).alias("line"))
