@@ -52,13 +52,6 @@ def sql_cte_subqueries(spark: SparkSession, sf: str) -> DataFrame:
     return _sql(spark, sf, "WITH a(k) AS (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier) SELECT n_name, n_nationkey FROM nation WHERE n_nationkey IN (SELECT k FROM a) AND EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = nation.n_nationkey)", "customer", "supplier", "nation")
 
 
-@query("SELECT event_id, sum(value) FILTER (WHERE event_type = 'click') OVER (PARTITION BY user_id ORDER BY event_id ROWS 3 PRECEDING) AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_id < 3000")
-def sql_window_filter(spark: SparkSession, sf: str) -> DataFrame:
-    text = "SELECT event_id, sum(value) FILTER (WHERE event_type = 'click') OVER (w ROWS 3 PRECEDING) AS s, row_number() OVER w AS n FROM events WHERE event_id < ? WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"
-    out = _sql(spark, sf, text, "events", params=[3000])
-    return out.withColumn("n", C("n").cast("long"))
-
-
 @query("WITH RECURSIVE r(k) AS (SELECT 0 UNION SELECT (k * 5 + 3) % 25 FROM r) SELECT n_name, n_nationkey FROM nation WHERE n_nationkey IN (SELECT k FROM r)")
 def sql_recursive_union(spark: SparkSession, sf: str) -> DataFrame:
     return _sql(spark, sf, "WITH RECURSIVE r(k) AS (SELECT 0 UNION SELECT (k * 5 + 3) % 25 FROM r) SELECT n_name, n_nationkey FROM nation WHERE n_nationkey IN (SELECT k FROM r)", "nation")
@@ -155,11 +148,6 @@ def module_scan_pushdown(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.format("brindle_series").options(start="100", stop="200", step="3").load().filter("value >= 120 AND value % 2 = 0")
 
 
-@query("SELECT event_id, j.fullkey AS fullkey, CAST(j.atom AS VARCHAR) AS atom FROM events, json_tree(events.props) j WHERE event_id < 300")
-def lateral_json_tree(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.json_tree(t(spark, sf, "events").filter("event_id < 300").select("event_id", "props"), "props").select("event_id", "fullkey", "atom")
-
-
 @query("SELECT event_id, j.fullkey AS fullkey, CAST(j.atom AS VARCHAR) AS atom FROM events, json_tree(events.props) j")
 def lateral_json_tree_whole(spark: SparkSession, sf: str) -> DataFrame:
     return tables.json_tree(t(spark, sf, "events").select("event_id", "props"), "props").select("event_id", "fullkey", "atom")
@@ -228,3 +216,32 @@ def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{shared_root(spark)}/csv-{uuid.uuid4().hex}"
     files.write_delimited(t(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice"), path)
     return files.read_delimited(spark, path, {"p_partkey": "INTEGER", "p_name": "TEXT", "p_retailprice": "REAL"})
+
+
+@query("SELECT event_id, j.key AS key, CAST(j.value AS VARCHAR) AS value FROM events, json_each(events.props) j")
+def sql_json_each(spark: SparkSession, sf: str) -> DataFrame:
+    return _sql(spark, sf, "SELECT event_id, j.key AS key, j.value AS value FROM events, json_each(events.props) AS j", "events")
+
+
+@query("SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || ',\"e\":\"' || event_type || '\"}' AS edited, '[' || event_id || ',\"' || event_type || '\",null]' AS made, lower(json_type(props)) AS kind FROM events")
+def sql_json_functions(spark: SparkSession, sf: str) -> DataFrame:
+    text = "SELECT event_id, json_set(props, '$.e', event_type) AS edited, json_array(event_id, event_type, NULL) AS made, json_type(props) AS kind FROM events"
+    return _sql(spark, sf, text, "events")
+
+
+@query("SELECT n_nationkey, n_regionkey IN (SELECT CASE WHEN r_regionkey < 2 THEN r_regionkey END FROM region) AS a, n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey > 2) AS b FROM nation")
+def sql_in_values(spark: SparkSession, sf: str) -> DataFrame:
+    return _sql(spark, sf, "SELECT n_nationkey, n_regionkey IN (SELECT CASE WHEN r_regionkey < 2 THEN r_regionkey END FROM region) AS a, n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey > 2) AS b FROM nation", "nation", "region")
+
+
+@query("SELECT p_partkey, printf('%05d|%.2f|%s', p_size, p_retailprice, p_brand) AS shown FROM part")
+def sql_printf(spark: SparkSession, sf: str) -> DataFrame:
+    return _sql(spark, sf, "SELECT p_partkey, printf('%05d|%.2f|%s', p_size, p_retailprice, p_brand) AS shown FROM part", "part")
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT vec_id, round(sqrt(list_sum([x * x FOR x IN e])), 6) AS norm, round(list_sum([abs(x) FOR x IN e]), 6) AS l1, len(e) AS dims,
+  array_to_string([CASE WHEN x > 0 THEN '1' ELSE '0' END FOR x IN e], '') AS bits FROM v""")
+def sql_vector_functions(spark: SparkSession, sf: str) -> DataFrame:
+    text = "SELECT vec_id, round(vector_norm(embedding), 6) AS norm, round(l1_distance(embedding, vector_sub(embedding, embedding)), 6) AS l1, vector_dims(embedding) AS dims, binary_quantize(embedding) AS bits FROM embeddings"
+    return _sql(spark, sf, text, "embeddings")
+

@@ -240,11 +240,6 @@ def facets_and_cap(spark: SparkSession, sf: str) -> DataFrame:
     return K.capped(hits, "source", 2).select("id", "source")
 
 
-@query("SELECT doc_id, regexp_replace(substr(text, 1, 400), '\\b(the|und)\\b', '[\\1]', 'gi') AS h FROM documents WHERE lang = 'en'")
-def highlight(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "documents").filter("lang = 'en'").select("doc_id", L.highlight(F.substring("text", 1, 400), ["the", "und"]).alias("h"))
-
-
 @query()
 def highlight_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Every document and its whole text; compared with brute force in the tests."""
