@@ -182,7 +182,9 @@ def collate_rtrim(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def stemmed_search_rescored(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 over stems with coverage, the best hits rescored for closeness and order."""
-    c = L.stemmed(t(spark, sf, "documents"), "doc_id", "text")
+    from .scalars import corpus
+
+    c = corpus(spark, sf, tokenize.search(C("text")), "stems")
     terms = tokenize.search_tokens("erst thing erhe")
     return L.rescored(c, L.bm25(c, terms, coverage=L.COVERAGE), terms, 10)
 

@@ -8,9 +8,12 @@ also under a filter.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,12 +23,63 @@ from . import tokenize
 
 K1, B = 1.2, 0.75
 COVERAGE, PROXIMITY, PHRASE, RESCORE = 3.0, 1.0, 0.75, 6
+#: Stored postings are laid out by this many hash classes of their terms.
+BUCKETS = 64
 
 
 def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """(id, term, tf, positions): one row a document and term."""
-    words = docs.select(F.col(key).alias("id"), F.posexplode(tokens).alias("pos", "term"))
-    return words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """(id, term, tf, positions, length): one row a document and term, with the document's number of tokens.
+
+    A filter on terms reaches the tokens.  For all terms ``entries`` is cheaper.
+    """
+    sized = docs.select(F.col(key).alias("id"), tokens.alias("t")).select("id", "t", F.size("t").alias("length"))
+    words = sized.select("id", "length", F.posexplode("t").alias("pos", "term"))
+    return words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.max("length").alias("length"))
+
+
+def entries(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """The rows of ``postings`` for every term, grouped inside each document without a shuffle."""
+    own = docs.select(F.col(key).alias("id"), tokens.alias("t"))
+    kind = own.schema["id"].dataType.simpleString()
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                rows, terms, lengths, flat, ends = [], [], [], [], [0]
+                for row, words in enumerate(part.column(1).to_pylist()):
+                    at: dict[str, list[int]] = {}
+                    for i, word in enumerate(words or ()):
+                        at.setdefault(word, []).append(i)
+                    for word, places in at.items():
+                        rows.append(row)
+                        terms.append(word)
+                        lengths.append(len(words))
+                        flat += places
+                        ends.append(len(flat))
+                places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                tf = pa.array(np.diff(ends).astype(np.int64))
+                ids = part.column(0).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(terms, pa.string()), tf, places, pa.array(lengths, pa.int32())], ["id", "term", "tf", "positions", "length"])
+
+    return own.mapInArrow(build, f"id {kind}, term string, tf bigint, positions array<int>, length int")
+
+
+def length_of(tokens: Column) -> Column:
+    """The number of tokens; a null text is an empty one."""
+    return F.coalesce(F.size(tokens), F.lit(0))
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def of_terms(post: DataFrame, terms: list[str]) -> DataFrame:
+    """The postings of some terms; of stored ones only their buckets are read."""
+    rows = post.filter(F.col("term").isin(terms))
+    if "bucket" not in post.columns or not terms:
+        return rows
+    return rows.filter(F.col("bucket").isin([bucket_of(F.lit(x)) for x in terms]))
 
 
 def vocabulary(post: DataFrame) -> DataFrame:
@@ -43,20 +97,18 @@ class Corpus:
     """Postings with the corpus' number of documents and mean length, which any query needs."""
 
     post: DataFrame
-    lengths: DataFrame
     n: int
     mean: float
 
     @classmethod
     def of(cls, docs: DataFrame, key: str, tokens: Column) -> Corpus:
-        sized = docs.select(F.col(key).alias("id"), F.size(tokens).alias("length"))
-        n, mean = sized.agg(F.count(F.lit(1)), F.avg("length")).first()
-        return cls(postings(docs, key, tokens), sized, n, mean or 1.0)
+        n, mean = docs.select(length_of(tokens).alias("length")).agg(F.count(F.lit(1)), F.avg("length")).first()
+        return cls(postings(docs, key, tokens), n, mean or 1.0)
 
 
 def _weights(c: Corpus, terms: list[str], idf: Column) -> DataFrame:
     """(term, idf) of the query's terms."""
-    return c.post.filter(F.col("term").isin(terms)).groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", idf.alias("idf"))
+    return of_terms(c.post, terms).groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", idf.alias("idf"))
 
 
 def bm25(c: Corpus, terms: list[str], k1: float = K1, b: float = B, coverage: float = 0.0, keep: DataFrame | None = None) -> DataFrame:
@@ -66,7 +118,7 @@ def bm25(c: Corpus, terms: list[str], k1: float = K1, b: float = B, coverage: fl
     """
     terms = sorted(set(terms))
     weight = _weights(c, terms, F.log(1 + (c.n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    hits = c.post.filter(F.col("term").isin(terms)).join(F.broadcast(weight), "term").join(c.lengths, "id")
+    hits = of_terms(c.post, terms).join(F.broadcast(weight), "term")
     if keep is not None:
         hits = hits.join(keep, "id", "left_semi")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / c.mean))
@@ -81,7 +133,7 @@ def fts_bm25(c: Corpus, terms: list[str], k1: float = K1, b: float = B) -> DataF
     """(id, rank): idf ln((N - n + .5) / (n + .5)), at least 1e-6, negated so that better is smaller; all terms must match."""
     terms = sorted(set(terms))
     weight = _weights(c, terms, F.greatest(F.log((c.n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)))
-    hits = c.post.filter(F.col("term").isin(terms)).join(F.broadcast(weight), "term").join(c.lengths, "id")
+    hits = of_terms(c.post, terms).join(F.broadcast(weight), "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / c.mean))
     return hits.groupBy("id").agg((-F.sum(part)).alias("rank"), F.count(F.lit(1)).alias("m")).filter(F.col("m") == len(terms)).select("id", "rank")
 
@@ -119,7 +171,7 @@ def ordered_run(terms: list[str], at: dict[str, list[int]]) -> int:
 def rescored(c: Corpus, hits: DataFrame, terms: list[str], k: int, proximity: float = PROXIMITY, phrase: float = PHRASE) -> DataFrame:
     """The best RESCORE k hits with their scores changed for closeness and order of the terms; the rest as they were."""
     top = hits.orderBy(F.desc("score"), "id").limit(RESCORE * k)
-    found = c.post.filter(F.col("term").isin(sorted(set(terms)))).join(F.broadcast(top), "id")
+    found = of_terms(c.post, sorted(set(terms))).join(F.broadcast(top), "id")
     grouped = found.groupBy("id", "score", "matched").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
 
     @F.pandas_udf(T.DoubleType())
@@ -260,8 +312,8 @@ def phrase_hits(post: DataFrame, p: Phrase) -> DataFrame:
     out = None
     for k, w in enumerate(p.words):
         last = k == len(p.words) - 1
-        cond = F.col("term").startswith(w) if p.prefix and last else F.col("term") == w
-        own = post.filter(cond).select("id", F.explode("positions").alias("pos")).select("id", (F.col("pos") - k).alias("start")).distinct()
+        own = post.filter(F.col("term").startswith(w)) if p.prefix and last else of_terms(post, [w])
+        own = own.select("id", F.explode("positions").alias("pos")).select("id", (F.col("pos") - k).alias("start")).distinct()
         out = own if out is None else out.join(own, ["id", "start"])
     out = out.filter("start = 0") if p.first else out
     return out.select("id", "start", (F.col("start") + len(p.words) - 1).alias("stop"))

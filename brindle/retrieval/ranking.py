@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
@@ -26,44 +26,103 @@ def batch_search(rows: DataFrame, key: str, vector: str, queries: DataFrame, k:
     Queries are a stated set, held in blocks; a task keeps k rows a query, so what is shuffled is k rows a
     query and task.
     """
+    found = _blocks(rows.select(F.col(key).alias("id"), F.col(vector).alias("v")), queries, k, block)
+    return _best(found, k)
+
+
+def _blocks(rows: DataFrame, queries: DataFrame, k: int, block: int, centers: np.ndarray | None = None, probes: int = 0) -> DataFrame:
+    """(query_id, id, similarity): the k nearest rows (id, v) a query and task, in the query's lists only if there are centers."""
     got = queries.select("query_id", "query").orderBy("query_id").collect()
-    out = None
+    out = rows.sparkSession.createDataFrame([], "query_id long, id long, similarity double") if not got else None
     for at in range(0, len(got), block):
         part = got[at : at + block]
         ids = np.array([r["query_id"] for r in part])
         q = np.array([list(r["query"]) for r in part], np.float64)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def near(batches, ids=ids, q=q):  # noqa: ANN001, ANN202
+        probed, own = None, rows
+        if centers is not None:
+            nearest = np.argsort(np.stack([((centers - x) ** 2).sum(axis=1) for x in q]), axis=1)[:, :probes]
+            probed = np.zeros((len(q), len(centers)), bool)
+            np.put_along_axis(probed, nearest, True, axis=1)
+            own = rows.filter(F.col("list").isin(np.flatnonzero(probed.any(axis=0)).tolist()))
+
+        def near(batches, ids=ids, q=q, probed=probed):  # noqa: ANN001, ANN202
             import pandas as pd
 
+            best = [(np.empty(0, np.int64), np.empty(0)) for _ in ids]  # of the whole task, k a query
             for pdf in batches:
                 if not len(pdf):
                     continue
                 x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
                 sims = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ q.T
                 keys = pdf["id"].to_numpy()
-                for j, query_id in enumerate(ids):
-                    best = np.lexsort((keys, -sims[:, j]))[:k]
-                    yield pd.DataFrame({"query_id": query_id, "id": keys[best], "similarity": sims[best, j]})
-
-        found = rows.select(F.col(key).alias("id"), F.col(vector).alias("v")).mapInPandas(near, "query_id long, id long, similarity double")
+                for j in range(len(ids)):
+                    at = slice(None) if probed is None else np.flatnonzero(probed[j, pdf["list"].to_numpy()])
+                    own_ids, own_sims = np.concatenate([best[j][0], keys[at]]), np.concatenate([best[j][1], sims[at, j]])
+                    first = np.lexsort((own_ids, -own_sims))[:k]
+                    best[j] = own_ids[first], own_sims[first]
+            for query_id, (found, similarity) in zip(ids, best, strict=True):
+                if len(found):
+                    yield pd.DataFrame({"query_id": query_id, "id": found, "similarity": similarity})
+
+        found = own.mapInPandas(near, "query_id long, id long, similarity double")
         out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 class InvertedFile:
-    """k-means lists; a search looks at the nearest ``probes`` lists only.  Recall is to be measured against exact_search."""
+    """k-means lists; a search looks at the nearest ``probes`` lists only.  Recall is to be measured against exact_search.
+
+    Centers come from at most ``sample`` rows; every row is in a list.  With ``path`` the model and the lists are
+    stored, one folder a list, and a search reads the folders that it looks at; ``open`` finds them again.
+    """
 
-    def __init__(self, rows: DataFrame, key: str, vector: str, lists: int = 100, passes: int = 10, sample: int = 100_000, seed: int = 1) -> None:
-        unit = rows.select(F.col(key).alias("id"), vectors.normalize(F.col(vector)).alias("v"))
+    def __init__(self, rows: DataFrame, key: str, vector: str, lists: int = 100, passes: int = 10, sample: int = 100_000, seed: int = 1, path: str | None = None) -> None:
+        unit = self._unit(rows, key, vector)
         fitted = unit.orderBy(F.xxhash64("id")).limit(sample)
         model = KMeans(k=lists, maxIter=passes, seed=seed, featuresCol="f").fit(fitted.select(array_to_vector("v").alias("f")))
-        self.centers = np.array(model.clusterCenters())
-        centers = self.centers
-        self.assigned = model.transform(unit.withColumn("f", array_to_vector("v"))).select("id", "v", F.col("prediction").alias("list"))
-        self.lists = len(centers)
+        self._take(model)
+        self.path = path.rstrip("/") if path else None
+        if self.path:
+            self._store(self._assign(unit), "overwrite")
+            model.write().overwrite().save(f"{self.path}/model")
+            self.assigned = rows.sparkSession.read.parquet(f"{self.path}/lists")
+        else:
+            self.assigned = self._assign(unit)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> InvertedFile:
+        self = cls.__new__(cls)
+        self.path = path.rstrip("/")
+        self._take(KMeansModel.load(f"{self.path}/model"))
+        self.assigned = spark.read.parquet(f"{self.path}/lists")
+        return self
+
+    def append(self, rows: DataFrame, key: str, vector: str) -> None:
+        """Further rows go to the lists of the stored centers; ids are to be new."""
+        if not self.path:
+            raise ValueError("only stored lists take further rows")
+        self._store(self._assign(self._unit(rows, key, vector)), "append")
+        self.assigned = rows.sparkSession.read.parquet(f"{self.path}/lists")
+
+    @staticmethod
+    def _unit(rows: DataFrame, key: str, vector: str) -> DataFrame:
+        return rows.select(F.col(key).alias("id"), vectors.normalize(F.col(vector)).alias("v"))
+
+    def _take(self, model: KMeansModel) -> None:
+        self.model, self.centers = model, np.array(model.clusterCenters())
+        self.lists = len(self.centers)
+
+    def _assign(self, unit: DataFrame) -> DataFrame:
+        return self.model.transform(unit.withColumn("f", array_to_vector("v"))).select("id", "v", F.col("prediction").alias("list"))
+
+    def _store(self, rows: DataFrame, mode: str) -> None:
+        rows.hint("rebalance", "list").write.mode(mode).partitionBy("list").parquet(f"{self.path}/lists")
 
     def search(self, query: list[float], k: int, probes: int = 1) -> DataFrame:
         q = np.array(query, float)
@@ -71,39 +130,9 @@ class InvertedFile:
         nearest = np.argsort(((self.centers - q) ** 2).sum(axis=1))[:probes].tolist()
         return exact_search(self.assigned, "id", "v", query, k, where=F.col("list").isin(nearest))
 
-
     def batch_search(self, queries: DataFrame, k: int, probes: int = 1, block: int = 256) -> DataFrame:
         """(query_id, id, similarity, rank) of the k nearest rows by cosine in the nearest lists of each query (query_id, query)."""
-        got = queries.select("query_id", "query").orderBy("query_id").collect()
-        out = None
-        for at in range(0, len(got), block):
-            part = got[at : at + block]
-            ids = np.array([r["query_id"] for r in part])
-            q = np.array([list(r["query"]) for r in part], np.float64)
-            q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            apart = np.stack([((self.centers - x) ** 2).sum(axis=1) for x in q])
-            probed = np.zeros(apart.shape, bool)
-            np.put_along_axis(probed, np.argsort(apart, axis=1)[:, :probes], True, axis=1)
-
-            def near(batches, ids=ids, q=q, probed=probed):  # noqa: ANN001, ANN202
-                import pandas as pd
-
-                for pdf in batches:
-                    if not len(pdf):
-                        continue
-                    sims = np.stack(pdf["v"].to_numpy()).astype(np.float64) @ q.T
-                    keys, lists = pdf["id"].to_numpy(), pdf["list"].to_numpy()
-                    for j, query_id in enumerate(ids):
-                        own = np.flatnonzero(probed[j, lists])
-                        best = own[np.lexsort((keys[own], -sims[own, j]))[:k]]
-                        yield pd.DataFrame({"query_id": query_id, "id": keys[best], "similarity": sims[best, j]})
-
-            found = self.assigned.mapInPandas(near, "query_id long, id long, similarity double")
-            out = found if out is None else out.unionByName(found)
-        if out is None:
-            return self.assigned.sparkSession.createDataFrame([], "query_id long, id long, similarity double, rank int")
-        w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-        return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        return _best(_blocks(self.assigned, queries, k, block, self.centers, probes), k)
 
 
 def rescored_search(rows: DataFrame, key: str, vector: str, query: list[float], k: int, oversample: int = 3) -> DataFrame:
