@@ -23,6 +23,7 @@ from ..sources import files
 from ..streaming import windows as ST
 from .registry import query
 from .registry import table as t
+from .scalars import QUERY, VECTOR, corpus
 
 C = F.col
 
@@ -182,8 +183,6 @@ def collate_rtrim(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def stemmed_search_rescored(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 over stems with coverage, the best hits rescored for closeness and order."""
-    from .scalars import corpus
-
     c = corpus(spark, sf, tokenize.search(C("text")), "stems")
     terms = tokenize.search_tokens("erst thing erhe")
     return L.rescored(c, L.bm25(c, terms, coverage=L.COVERAGE), terms, 10)
@@ -194,11 +193,15 @@ def snippets(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "documents").select("doc_id", L.snippet(C("text"), ["the", "erst"], "[", "]", "...", 12).alias("s"))
 
 
-@query()
-def int8_rescored_search(spark: SparkSession, sf: str) -> DataFrame:
-    from .scalars import VECTOR
+TOP = max(abs(x) for x in VECTOR)
+COARSE = "[" + ", ".join(f"{round(x * 127 / TOP)}::DOUBLE" for x in VECTOR) + "]"
 
-    return K.rescored_search(t(spark, sf, "embeddings"), "vec_id", "embedding", VECTOR, 10)
+
+@query(f"""WITH w AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_max([abs(x) FOR x IN embedding::DOUBLE[]]) AS top FROM embeddings), rough AS (SELECT vec_id, e FROM w ORDER BY list_cosine_similarity([coalesce(round(x * 127 / nullif(top, 0)), 0) FOR x IN e], {COARSE}) DESC, vec_id LIMIT 30)
+SELECT vec_id AS id, round(1 - list_cosine_similarity(e, {QUERY}), 6) AS distance FROM rough ORDER BY list_cosine_similarity(e, {QUERY}) DESC, vec_id LIMIT 10""")
+def int8_rescored_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Three times k candidates by int8 components, ranked by full precision."""
+    return K.rescored_search(t(spark, sf, "embeddings"), "vec_id", "embedding", VECTOR, 10).select("id", F.round("distance", 6).alias("distance"))
 
 
 # Streams and files ---------------------------------------------------------------------
