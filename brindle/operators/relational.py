@@ -109,6 +109,17 @@ def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct:
     return out.limit(limit) if limit is not None else out
 
 
+def not_in(rows: DataFrame, x: str, among: DataFrame) -> DataFrame:
+    """rows WHERE x NOT IN (among, of one column): all rows if there is nothing among, none if a NULL is, else those of a known x that is not there.
+
+    Spark broadcasts all rows of a NOT IN subquery; here the distinct keys are joined like any other table.
+    """
+    keys = among.toDF("__k")
+    facts = keys.agg(F.count(F.lit(1)).alias("__rows"), F.count("__k").alias("__known"))
+    left = rows.join(keys.distinct(), rows[x] == F.col("__k"), "left_anti").crossJoin(F.broadcast(facts))
+    return left.filter((F.col("__rows") == 0) | ((F.col("__rows") == F.col("__known")) & F.col(x).isNotNull())).select(*rows.columns)
+
+
 def generate_series(spark: SparkSession, start: int = 0, stop: int = 4294967295, step: int = 1) -> DataFrame:
     """value from start to stop; the sign of step is ignored and 0 counts as 1."""
     step = abs(step) or 1

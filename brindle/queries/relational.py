@@ -258,7 +258,7 @@ def correlated_in(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 10)")
 def not_in_subquery(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql("SELECT p_partkey FROM {p} WHERE p_partkey NOT IN (SELECT l_partkey FROM {l} WHERE l_quantity > 10)", p=t(spark, sf, "part"), l=t(spark, sf, "lineitem"))
+    return R.not_in(t(spark, sf, "part").select("p_partkey"), "p_partkey", t(spark, sf, "lineitem").filter("l_quantity > 10").select("l_partkey"))
 
 
 @query("WITH big AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY 1 HAVING sum(o_totalprice) > 500000) SELECT c_name, round(s, 2) AS s FROM big JOIN customer ON c_custkey = o_custkey")
