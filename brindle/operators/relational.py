@@ -109,6 +109,12 @@ def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct:
     return out.limit(limit) if limit is not None else out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df with a task for each core at least: a small file is one task, however much work its rows are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def not_in(rows: DataFrame, x: str, among: DataFrame) -> DataFrame:
     """rows WHERE x NOT IN (among, of one column): all rows if there is nothing among, none if a NULL is, else those of a known x that is not there.
 

@@ -14,6 +14,7 @@ from ..functions import jsons as J
 from ..functions import maths as M
 from ..functions import strings as S
 from ..functions import vectors as V
+from ..operators import relational as R
 from ..operators import windows as W
 from ..plans.lower import Engine
 from ..retrieval import lexical as L
@@ -135,7 +136,7 @@ def polygon_functions(spark: SparkSession, sf: str) -> DataFrame:
     box = F.concat(F.lit("[[0,0],["), s, F.lit(",0],["), s, F.lit(","), more, F.lit("],[0,"), more, F.lit("],[0,0]]"))
     back = F.concat(F.lit("[[0,0],[0,"), more, F.lit("],["), s, F.lit(","), more, F.lit("],["), s, F.lit(",0],[0,0]]"))
     outer = F.lit("[[-1,-1],[30.5,-1],[30.5,30.5],[-1,30.5],[-1,-1]]")
-    return t(spark, sf, "part").select(
+    return R.spread(t(spark, sf, "part").select("p_partkey", "p_size")).select(
         "p_partkey", G.contains_point(box, F.lit(10.0), F.lit(10.0)).cast("int").alias("inside"), G.within(box, outer).cast("int").alias("w"), G.area(G.transform(box, 2, 0, 0, 3, 5, -5)).alias("wide"), G.area(G.ccw(back)).alias("turned")
     )
 

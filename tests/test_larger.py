@@ -1,5 +1,6 @@
 """Queries whose plans must hold on larger tables: no subquery in one place, no value parsed again and again, no stream in the driver."""
 
+import json
 import random
 
 import pytest
@@ -28,3 +29,42 @@ def test_not_in_broadcasts_no_rows_of_the_subquery(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" not in plan
+
+
+def _ring(rng, kind):
+    if kind == 0:
+        x, y, w, h = (rng.randint(-3, 3) for _ in range(4))
+        v = [[x, y], [x + w, y], [x + w, y + h], [x, y + h]]
+    else:
+        v = [[rng.randint(-4, 4) / kind, rng.randint(-4, 4) / kind] for _ in range(rng.randint(1, 6))]
+    return v + v[:1] if rng.random() < 0.5 else v
+
+
+def test_polygons_of_many_rows_are_compared_as_one_by_one(spark):
+    rng = random.Random(3)
+    rings = [_ring(rng, rng.choice([0, 0, 1, 2])) for _ in range(900)]
+    big = [[k, k * k % 977] for k in range(1100)]  # with itself over PAIRS pairs of edges
+    pairs = [(rng.choice(rings), rng.choice(rings)) for _ in range(1500)] + [(r, r[::-1]) for r in rings[:50]] + [(big, rings[0]), (big, big)]
+    rows = [(i, json.dumps(a), json.dumps(b), rng.randint(-8, 8) / 2, rng.randint(-8, 8) / 2) for i, (a, b) in enumerate(pairs)]
+    rows += [(-1, None, "[[0,0],[1,0],[0,1]]", 0.0, 0.0), (-2, "[[0,0],[1,0],[0,1]]", None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "i int, a string, b string, x double, y double").repartition(2)
+    got = {r["i"]: tuple(r)[1:] for r in df.select("i", G.overlap("a", "b"), G.within("a", "b"), G.contains_point("a", "x", "y")).collect()}
+    assert got.pop(-1) == (None, None, None) and got.pop(-2) == (None, None, 1)
+    for i, a, b, x, y in rows[:-2]:
+        a, b = G._open(json.loads(a)), G._open(json.loads(b))
+        code = G.relation(a, b)
+        assert got[i] == (code, {4: 2, 2: 1}.get(code, 0), G.point_in((x, y), a)), (a, b, x, y)
+    assert {v[0] for v in got.values()} == {0, 1, 2, 3, 4}
+
+
+def test_a_polygon_is_parsed_once_by_each_function(spark):
+    plan = spark.range(1).select(G.area(G.ccw(F.col("id").cast("string"))).alias("a"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 2
+    nothing = spark.createDataFrame([(None,)], "s string")
+    assert nothing.select(G.area("s"), G.area(G.ccw(F.col("s"))), G.bbox(F.col("s"))["x0"]).first()[:2] == (None, None)
+
+
+def test_a_small_file_is_spread_over_the_cores(spark):
+    rows = R.spread(spark.read.parquet(f"{SF}/part.parquet"))
+    assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and rows.count() == spark.read.parquet(f"{SF}/part.parquet").count()
+    assert R.spread(spark.range(0, 100, 1, 64)).rdd.getNumPartitions() == 64
