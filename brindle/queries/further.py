@@ -181,8 +181,7 @@ def diverse_results(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_id, event_type FROM events")
 def stream_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
     """Each event arrives twice; one of each stays."""
-    stream = spark.readStream.schema(t(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    twice = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    twice = ST.table_stream(spark, sf, "events").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     return ST.run_to_end(ST.deduplicated(twice, ["event_id"], "ts"), f"s_{uuid.uuid4().hex[:8]}", "append").select("event_id", "event_type")
 
 

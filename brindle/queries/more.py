@@ -210,9 +210,7 @@ def int8_rescored_search(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS d FROM events GROUP BY 1, 3")
 def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     """The same windows from a stream that has read everything."""
-    schema = t(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    out = ST.tumbling(stream, "ts", "1 day", ["event_type"], n=F.count(F.lit(1)))
+    out = ST.tumbling(ST.table_stream(spark, sf, "events"), "ts", "1 day", ["event_type"], n=F.count(F.lit(1)))
     return ST.run_to_end(out, f"s_{uuid.uuid4().hex[:8]}").select("event_type", "n", F.date_format("window_start", "yyyy-MM-dd").alias("d"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from brindle.functions import geometry as G
 from brindle.operators import relational as R
 from brindle.queries import QUERIES
+from brindle.streaming import windows as ST
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +69,31 @@ def test_a_small_file_is_spread_over_the_cores(spark):
     rows = R.spread(spark.read.parquet(f"{SF}/part.parquet"))
     assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and rows.count() == spark.read.parquet(f"{SF}/part.parquet").count()
     assert R.spread(spark.range(0, 100, 1, 64)).rdd.getNumPartitions() == 64
+
+
+def test_a_stream_leaves_its_rows_in_the_shared_folder(spark):
+    out = ST.run_to_end(ST.table_stream(spark, SF, "events").select("event_id", "ts"), "left_there", "append")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "MemoryPlan" not in plan
+    assert out.count() == spark.table("left_there").count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_streams_of_many_batches_and_of_none(spark, tmp_path):
+    rows = spark.read.parquet(f"{SF}/events.parquet")
+    rows.withColumn("event_id", F.col("event_id") % 50).repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    stream = ST.read_stream(spark, str(tmp_path / "events.parquet"), rows.schema)
+    n = ST.run_to_end(stream.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "many_counted")
+    assert sorted(map(str, n.collect())) == sorted(map(str, rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).collect()))
+    assert ST.run_to_end(stream.select("event_id"), "many_listed", "append").count() == rows.count()
+    ids = ST.run_to_end(ST.deduplicated(stream, ["event_id"], "ts", "60 days"), "many_once", "append").select("event_id")
+    assert sorted(r[0] for r in ids.collect()) == list(range(50))
+    (tmp_path / "none").mkdir()
+    none = ST.read_stream(spark, str(tmp_path / "none"), rows.schema)
+    assert ST.run_to_end(none.select("event_id"), "none_there", "append").count() == 0
+
+
+def test_a_stream_reads_a_table_in_a_folder_of_files(spark, tmp_path):
+    rows = spark.read.parquet(f"{SF}/events.parquet")
+    rows.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["stream_deduplicated"](spark, str(tmp_path))
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.select("event_id", "event_type").collect()))
