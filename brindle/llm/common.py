@@ -5,11 +5,13 @@ from __future__ import annotations
 import atexit
 import re
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,6 +87,22 @@ def partitions_for(df: DataFrame, bytes_each: int = 128 << 20) -> int:
 BROADCAST_KEYS = 100_000
 
 
+#: Rows that a function over Arrow batches works on at a time: Spark's batches hold ten times as many, and their copies as Python objects weigh several times their bytes.
+SLICE_ROWS = 1_000
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, SLICE_ROWS at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(at, SLICE_ROWS)
+
+
+def forget_pieces() -> None:
+    """Drop the token ids that encoding remembers in this worker process, which may run other work for long."""
+    sys.modules.pop("_brindle_pieces", None)
+
+
 def is_small(keys: DataFrame) -> bool:
     return keys.count() <= BROADCAST_KEYS
 

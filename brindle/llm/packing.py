@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, stored, with_id
+from .common import id_and_text, slices, stored, with_id
 from .encoding import Encoder
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -45,7 +45,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in slices(batches):
             rows: list[tuple] = []
             for i, text in enumerate(b.column(1)):
                 raw = enc.ids(text.as_py()) + end

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, id_and_text, labelled_sample, stored
+from .common import fold, forget_pieces, id_and_text, labelled_sample, slices, stored
 
 TRAIN_ROWS = 8_000
 WORDS, SHAPES, DIM = 8_192, 1_024, 32
@@ -127,6 +127,7 @@ def context_vectors(sample: DataFrame) -> np.ndarray:
     block = 1024
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_pieces()
         index, tokens = index_vectors(), Tokens()
         sums = np.zeros((BUCKETS, DIM), np.float32)
         for b in batches:
@@ -191,8 +192,9 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id"
     model.vectors = context_vectors(sample)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_pieces()
         tokens = Tokens()
-        for b in batches:
+        for b in slices(batches):
             x = [model.pooled(t.as_py(), tokens) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64())), b.column(2)], names=["id", "x", "y"])
 
@@ -214,8 +216,9 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     rows = id_and_text(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_pieces()
         tokens = Tokens()
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(b.column(1).to_pylist(), tokens), pa.float64())], names=["id", "score"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
@@ -226,8 +229,9 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_pieces()
         tokens = Tokens()
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(model.scores(texts, tokens) >= threshold, pa.bool_()))
 
